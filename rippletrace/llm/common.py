@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark import cloudpickle
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rippletrace
 
-# Functions that run on executors travel with the job, so workers need no copy of the package.
-cloudpickle.register_pickle_by_value(rippletrace)
-
 #: White space of every word rule: space and U+0009 to U+000D. bytes.split() splits at the same six bytes.
 WS_CLASS = r"[\x20\x09-\x0D]"
 
@@ -27,6 +27,45 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(rippletrace.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship"), "rippletrace_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def byte_rows(column: pa.Array) -> tuple[bytes, list[int]]:
+    """The UTF-8 bytes of a string or binary column and the n + 1 offsets of its rows in them; nulls are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    if not len(column):
+        return b"", [0]
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = data[int(at[0]) : int(at[-1])].to_pybytes() if data is not None else b""
+    return raw, (at - at[0]).tolist()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -55,6 +94,17 @@ class Memo(dict):
         return value
 
 
+_memo: dict[str, Memo] = {}
+
+
+def shared_memo(name: str, make: Callable[[], Callable], most: int = 300_000) -> Memo:
+    """The Memo of this worker process under that name; it outlives a task. One is kept at a time."""
+    if name not in _memo:
+        _memo.clear()
+        _memo[name] = Memo(make(), most)
+    return _memo[name]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (multiply and xor-shift), so that sums of its values behave like random numbers."""
     x = x ^ (x >> np.uint64(32))

@@ -103,7 +103,7 @@ def line_frequency_rules(
     # A line that comes again in a text, or in a repeated row, is summed once for each row of the text.
     lost = hits.groupBy(*key, "line_hash").agg(F.sum("words").alias("words")).groupBy(*key).agg(F.sum("words").alias("lost"), F.collect_list("line_hash").alias("removed_lines"))
     base = base_rules(docs)
-    rows = base.groupBy(*key).agg(F.count("*").alias("times"))
+    rows = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).groupBy(*key).agg(F.count("*").alias("times"))
     lost = lost.join(rows, _same(lost, rows, key)).select(*[lost[k] for k in key], "lost", "removed_lines", "times")
     both = base.join(lost, _same(base, lost, key), "left")
     removed = F.coalesce((F.col("lost") / F.col("times")).cast("long"), F.lit(0))
