@@ -85,7 +85,7 @@ def _spread(index: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, x[:, d], n) for d in range(x.shape[1])], 1).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], prior: float, dims: int = 4, epochs: int = 12, rate: float = 0.02, scale: float = 40.0, least_texts: int = 3, batch: int = 128) -> dict:
+def train(texts: list[str], labels: list[int], prior: float, dims: int = 4, steps: int = 520, rate: float = 0.02, scale: float = 40.0, least_texts: int = 3, shrink: float = 0.015, batch: int = 128) -> dict:
     """The logit of class 1 that each bucket adds to a word's mean, and the bias. ``scale`` multiplies text vectors, so that a few words among many can turn the result at a usual step size."""
     rng = np.random.default_rng(7)
     y = np.array(labels)
@@ -95,7 +95,7 @@ def train(texts: list[str], labels: list[int], prior: float, dims: int = 4, epoc
     bias = np.log(np.array([1 - y.mean(), y.mean()]) + 1e-9).astype(np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, bias)]
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             which = order[lo : lo + batch]
@@ -121,8 +121,11 @@ def train(texts: list[str], labels: list[int], prior: float, dims: int = 4, epoc
                 m[rows] = 0.9 * m[rows] + 0.1 * g
                 v[rows] = 0.999 * v[rows] + 0.001 * g * g
                 param[rows] -= rate * fix * m[rows] / (np.sqrt(v[rows]) + 1e-8)
+            norm = np.linalg.norm(e[touched], axis=1, keepdims=True)
+            e[touched] *= np.maximum(0, 1 - shrink / np.maximum(norm, 1e-9))  # group lasso: what only fits noise goes to 0
     shift = np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    return {"bucket": ((e @ (w[:, 1] - w[:, 0])) * scale).astype(np.float32), "bias": float(bias[1] - bias[0] + shift)}
+    bucket = ((e @ (w[:, 1] - w[:, 0])) * scale).astype(np.float32)
+    return {"bucket": bucket, "bias": float(bias[1] - bias[0] + shift), "key": zlib.crc32(bucket.tobytes())}
 
 
 def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500, negatives: int = 4500) -> dict:
@@ -130,7 +133,7 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500
     own = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in own.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
-    plain = {"bucket": None, "bias": float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-50.0 if prior == 0 else 50.0)}
+    plain = {"key": 0, "bucket": None, "bias": float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-50.0 if prior == 0 else 50.0)}
     if not 0 < prior < 1:
         return plain
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003))
@@ -145,7 +148,7 @@ def _run(broadcast, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         bucket = model["bucket"]
-        memo = shared_memo(f"toxicity {broadcast.id}", lambda: lambda w: float(bucket[subwords(w)].mean()))
+        memo = shared_memo(f"toxicity {model['key']}", lambda: lambda w: float(bucket[subwords(w)].mean()))
         for b in batches:
             raw, at = byte_rows(b.column("text"))
             logit = np.full(b.num_rows, model["bias"])
