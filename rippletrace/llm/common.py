@@ -81,23 +81,28 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
 
 
 class Memo(dict):
-    """word -> value, computed at the first look-up; emptied when it holds ``most`` entries, so memory is bounded."""
+    """word -> value, computed at the first look-up. At most ``most`` young and as many old entries are held: when the
+    young ones are full they become the old ones, and a word that is met again becomes young again."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 400_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
 
 _memo: dict[str, Memo] = {}
 
 
-def shared_memo(name: str, make: Callable[[], Callable], most: int = 300_000) -> Memo:
+def shared_memo(name: str, make: Callable[[], Callable], most: int = 400_000) -> Memo:
     """The Memo of this worker process under that name; it outlives a task. One is kept at a time."""
     if name not in _memo:
         _memo.clear()

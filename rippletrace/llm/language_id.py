@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
-A text becomes a normalised TF-IDF vector of hashed byte n-grams (1 to 3 bytes of the lower-cased UTF-8 text, damped
-counts). Each language has several centroids from spherical k-means; a text takes the language of the centroid with
+A text becomes a normalised TF-IDF vector of hashed byte n-grams (1 to 3 bytes of the lower-cased letters in
+UTF-8, damped counts). Each language has several centroids from spherical k-means; a text takes the language of the centroid with
 the largest cosine. A text that lies further from its centroid than nearly all training texts of it is marked as
 rejected.
 
@@ -30,6 +30,15 @@ LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
+#: ASCII bytes that are no letters become spaces.
+SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def letters_of(text: str) -> bytes:
+    """The lower-cased text in UTF-8, its words with one space around each."""
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(SPACES).split()) + b" "
+
+
 def gram_counts(raw: bytes) -> np.ndarray:
     """Counts of the hashed 1-, 2- and 3-grams of the bytes."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
@@ -58,9 +67,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def fit(texts: list[str], langs: list[str], clusters: int = 3, rounds: int = 8, reject_share: float = 0.002) -> dict:
+def fit(texts: list[str], langs: list[str], clusters: int = 8, rounds: int = 8, reject_share: float = 0.002) -> dict:
     """idf, centroids, the language of each and the least cosine that is not rejected."""
-    raws = [t.lower().encode("utf-8", "replace") for t in texts]
+    raws = [letters_of(t) for t in texts]
     seen = np.zeros(DIMENSIONS)
     for r in raws:
         seen += gram_counts(r) > 0
@@ -104,7 +113,7 @@ def _run(broadcast):
                 raw, at = byte_rows(texts.slice(lo, 128))
                 part = [raw[at[k] : at[k + 1]].decode("utf-8", "replace") for k in range(len(at) - 1)]
                 ok = [bool(names) and LETTER.search(t) is not None for t in part]
-                x = np.stack([vector(t.lower().encode("utf-8", "replace"), m["idf"]) for t, o in zip(part, ok) if o]) if any(ok) else np.zeros((0, DIMENSIONS), np.float32)
+                x = np.stack([vector(letters_of(t), m["idf"]) for t, o in zip(part, ok) if o]) if any(ok) else np.zeros((0, DIMENSIONS), np.float32)
                 cos = x @ m["centres"].T
                 best = iter(cos.argmax(1)) if len(x) else iter(())
                 top = iter(cos.max(1)) if len(x) else iter(())

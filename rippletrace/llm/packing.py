@@ -16,6 +16,8 @@ stays. A table without rows gives none.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,24 +25,53 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_rows, documents, map_arrow, shared_memo
+from .common import Memo, byte_rows, documents, map_arrow, shared_memo
 
 CAPACITY = 4096
 END = (2).to_bytes(4, "little")
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
+NUMBERS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+#: Words of these characters are unchanged by the tokenizer's normalizer but for their case, which is one to one here.
+PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: The tokenizer's own word pattern, for lower-case text of those characters.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 def word_ids(tokenizer_file: str):
     """word (bytes without white space) -> its ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words one after another.
+    Nor does a token span the parts into which its pattern cuts a word, so those have a table of their own, which
+    serves all spellings and all punctuation around a part. Other words, and those that hold a special token's
+    marks, are given to the tokenizer whole.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(public_tokenizers.path(tokenizer_file)).encode
-    return lambda w: b"".join(i.to_bytes(4, "little") for i in encode(w.decode(), add_special_tokens=False).ids)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer_file))
+    pieces = tokenizer.model.tokenize
+    # The tokenizer writes each byte as a character: printable ones as themselves, the rest from U+0100 on.
+    shown = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or c >= 0xAE]
+    spelt = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in set(shown))}
+
+    def whole(text: str) -> bytes:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(text: str) -> bytes:
+        ids = [t.id for t in pieces(text if text.isascii() else text.encode().decode("latin-1").translate(spelt))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    of_part = Memo(part).__getitem__
+
+    def ids(word: bytes) -> bytes:
+        text = word.decode()
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return whole(text)
+        return b"".join(map(of_part, PARTS.findall(text.lower())))
+
+    return ids
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -88,11 +119,13 @@ class HarmonicBins:
         return out
 
 
-def _packer(tokenizer_file: str, capacity: int):
+def _packer(tokenizer_file: str, capacity: int, with_ids: bool):
+    names = [*NUMBERS, *["ids"] * with_ids]
+
     def batch(rows: list[list]) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[]] * 8
-        order = (0, 1, 2, 3, 4, 6, 7, 5)
-        return pa.RecordBatch.from_arrays([pa.array(cols[k], f.type) for k, f in zip(order, FIELDS)], schema=FIELDS)
+        columns = [pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 3, 4, 6, 7)] + [pa.array(cols[5], pa.binary())] * with_ids
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = shared_memo(f"ids {tokenizer_file}", lambda: word_ids(tokenizer_file)).__getitem__
@@ -105,7 +138,7 @@ def _packer(tokenizer_file: str, capacity: int):
                 total, start = len(ids) // 4, 0
                 for size in cuts(total, capacity):
                     part = ids[4 * start : 4 * (start + size)]
-                    rows += bins.put(size, [doc, start, size, zlib.crc32(part), total, part])
+                    rows += bins.put(size, [doc, start, size, zlib.crc32(part), total, part if with_ids else None])
                     start += size
                 held += len(ids)
                 if held > 8_000_000:
@@ -117,12 +150,13 @@ def _packer(tokenizer_file: str, capacity: int):
     return run
 
 
-def harmonic_packing(docs: DataFrame, tokenizer_file: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece, with its ids. ``capacity`` is a power of two."""
+def harmonic_packing(docs: DataFrame, tokenizer_file: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """A row for each piece; ``ids`` has its token ids (little-endian, 32 bits each). ``capacity`` is a power of two."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _packer(tokenizer_file, capacity), SCHEMA)
+    schema = ", ".join(f"{n} long" for n in NUMBERS) + ", ids binary" * with_ids
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _packer(tokenizer_file, capacity, with_ids), schema)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harmonic_packing(documents(spark, sf_dir)).drop("ids")
+    return harmonic_packing(documents(spark, sf_dir), with_ids=False)
