@@ -36,44 +36,67 @@ def unsqueeze(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def pack_chunk(ids: list[int | None], sizes: list[int], raw: bytes) -> bytes:
+def pack_chunk(ids: list[int | None], sizes: list[int], raw: bytes, extra: bytes = b"") -> bytes:
     head = np.array([[NULL_ID if i is None else i for i in ids], sizes], np.int64)
-    return np.int64(len(ids)).tobytes() + head.tobytes() + squeeze(raw)
+    return np.array([len(ids), len(extra)], np.int64).tobytes() + head.tobytes() + extra + squeeze(raw)
+
+
+def _head(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    n, more = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    ids, sizes = np.frombuffer(blob, np.int64, 2 * n, 16).reshape(2, n)
+    return ids, sizes, 16 + 16 * n, more
 
 
 def open_chunk(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     """ids (null: NULL_ID), n + 1 offsets, and the bytes of all texts."""
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    ids, sizes = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(2, n)
-    return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), unsqueeze(blob[8 + 16 * n :])
+    ids, sizes, begin, more = _head(blob)
+    return ids, np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]).astype(np.int64), unsqueeze(blob[begin + more :])
+
+
+def extra_of(blob: bytes) -> tuple[pa.Table, np.ndarray]:
+    """The other columns of a chunk's rows, and which texts are null."""
+    _, sizes, begin, more = _head(blob)
+    return pa.ipc.open_stream(blob[begin : begin + more]).read_all(), sizes < 0
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk long, blob binary; durable."""
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, extra: list[str] | None = None) -> DataFrame:
+    """chunk long, blob binary; durable. ``extra``: columns that the chunk's rows keep besides doc_id and text."""
+    extra = extra or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
-        ids, sizes, parts, held = [], [], [], 0
+        ids, sizes, parts, others, held = [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack_chunk(ids, sizes, b"".join(parts))], pa.binary())], ["chunk", "blob"])
+            kept = b""
+            if extra:
+                sink = pa.BufferOutputStream()
+                whole = pa.Table.from_batches(others)
+                with pa.ipc.new_stream(sink, whole.schema) as writer:
+                    writer.write_table(whole)
+                kept = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack_chunk(ids, sizes, b"".join(parts), kept)], pa.binary())], ["chunk", "blob"])
 
         for b in batches:
             raw, at = byte_rows(b.column("text"))
+            null = b.column("text").is_null().to_pylist()
+            rest, first = b.select(extra), 0
             for k, doc in enumerate(b.column("doc_id").to_pylist()):
                 text = raw[at[k] : at[k + 1]]
                 if ids and held + len(text) > chunk_bytes:
+                    others.append(rest.slice(first, k - first))
                     yield row()
                     chunk += 1
-                    ids, sizes, parts, held = [], [], [], 0
+                    ids, sizes, parts, others, held, first = [], [], [], [], 0, k
                 ids.append(doc)
-                sizes.append(len(text))
+                sizes.append(-1 if null[k] else len(text))
                 parts.append(text)
                 held += len(text)
+            others.append(rest.slice(first))
         if ids:
             yield row()
 
-    return durable(map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "chunk long, blob binary"))
+    return durable(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra), run, "chunk long, blob binary"))
 
 
 def bucket_count(chunks: DataFrame, chunks_a_bucket: int = 4) -> int:
@@ -129,13 +152,14 @@ def ask(chunks: DataFrame, question: Callable[[bytes], Iterator[tuple[int, bytes
     return map_arrow(chunks, run, ROWS)
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """ROWS: what each bucket answers each chunk that asked; ``reply`` maps the questions of a bucket to the answers."""
+def answer(asked: DataFrame, reply: Callable[..., list[bytes]], with_key: bool = False) -> DataFrame:
+    """ROWS: what each bucket answers each chunk that asked; ``reply`` maps the questions of a bucket (after its number, if asked for) to the answers."""
     ship(asked.sparkSession)
 
     def run(key, t):
         t = t.sort_by("chunk")
-        replies = reply([unsqueeze(x) for x in t.column("blob").to_pylist()])
+        questions = [unsqueeze(x) for x in t.column("blob").to_pylist()]
+        replies = reply(key[0].as_py(), questions) if with_key else reply(questions)
         return rows_of(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), [squeeze(x) for x in replies])
 
     return asked.groupBy("bucket").applyInArrow(run, ROWS)
