@@ -130,28 +130,30 @@ def learn(segmented: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
     return odds, log((docs[1] + 1) / (docs.get(0, 0) + 1))
 
 
-def _verdict(broadcast, buckets: int):
-    names = ["page_id", "host", "path", "rule", "words", "block_score", "verdict"]
+def _verdict(counts, model, buckets: int):
+    names = ["page_id", "host", "path", "rule"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, prior = broadcast.value
-        memo = Memo(lambda w: float(odds[zlib.crc32(w.encode()) % buckets]), 200_000)
+        tokens, (odds, prior) = _tokens(Segmenter(counts.value)), model.value
+        memo = Memo(lambda w: float(odds[zlib.crc32(w.encode()) % buckets]), 50_000)
         for b in batches:
-            z = [prior + sum(map(memo.__getitem__, ws)) for ws in b.column("words").to_pylist()]
-            score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            words = [tokens(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
+            score = 1 / (1 + np.exp(-np.clip([prior + sum(map(memo.__getitem__, ws)) for ws in words], -50, 50)))
             verdict = [r or ("block" if s > 0.5 else "allow") for r, s in zip(b.column("by_rule").to_pylist(), score)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:5]), pa.array(score, pa.float64()), pa.array(verdict, pa.string())], names)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(n) for n in names), pa.array(words, pa.list_(pa.string())), pa.array(score, pa.float64()), pa.array(verdict, pa.string())], [*names, "words", "block_score", "verdict"]
+            )
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, lexicon: int = 50_000, buckets: int = 1 << 16) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, lexicon: int = 20_000, buckets: int = 1 << 16) -> DataFrame:
     """page_id, host, path, rule, words (segments), block_score, verdict."""
     sc = pages.sparkSession.sparkContext
     ruled = with_rules(pages, rules)
-    segmented = map_arrow(ruled, _segment(sc.broadcast(lexicon_counts(pages, lexicon))), SCHEMA)
-    model = learn(segmented, buckets)
-    return map_arrow(segmented, _verdict(sc.broadcast(model), buckets), "page_id long, host string, path string, rule string, words array<string>, block_score double, verdict string")
+    counts = sc.broadcast(lexicon_counts(pages, lexicon))
+    model = sc.broadcast(learn(map_arrow(ruled.where("by_rule is not null"), _segment(counts), SCHEMA), buckets))
+    return map_arrow(ruled, _verdict(counts, model, buckets), "page_id long, host string, path string, rule string, words array<string>, block_score double, verdict string")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
