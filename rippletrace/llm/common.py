@@ -18,12 +18,17 @@ import rippletrace
 WS_CLASS = r"[\x20\x09-\x0D]"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of ``spark.checkpoint.dir`` (a folder of our own only if none is set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -47,7 +52,7 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 

@@ -279,6 +279,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8) -> DataFr
     return out.select("doc_id", col("n").cast("long").alias("n_shingles"), F.when(col("n") > 0, col("component_id")).otherwise(col("doc_id")).alias("component_id"))
 
 
+def one_of_each_class(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The rows whose doc_id names their class, one for each id; rows without an id can't be named and stay."""
+    named = jaccard_components(docs, size).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def _mean_list(answers: DataFrame) -> float:
     """Mean number of sets on the list of a shared shingle, from the answers (classes of frequency)."""
 

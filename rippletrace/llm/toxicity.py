@@ -144,19 +144,28 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500
     return train([r["text"] for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
 
 
+def _scorer(model: dict):
+    """Text column -> scores."""
+    bucket = model["bucket"]
+    memo = shared_memo(f"toxicity {model['key']}", lambda: lambda w: float(bucket[subwords(w)].mean()))
+
+    def score(texts: pa.Array) -> np.ndarray:
+        raw, at = byte_rows(texts)
+        logit = np.full(len(texts), model["bias"])
+        for k in range(len(texts) if bucket is not None else 0):
+            words = _words(raw[at[k] : at[k + 1]].decode("utf-8", "replace"))
+            if words:
+                logit[k] += sum(map(memo.__getitem__, words)) / len(words)
+        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+
+    return score
+
+
 def _run(broadcast, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
-        bucket = model["bucket"]
-        memo = shared_memo(f"toxicity {model['key']}", lambda: lambda w: float(bucket[subwords(w)].mean()))
+        of = _scorer(broadcast.value)
         for b in batches:
-            raw, at = byte_rows(b.column("text"))
-            logit = np.full(b.num_rows, model["bias"])
-            for k in range(b.num_rows if bucket is not None else 0):
-                words = _words(raw[at[k] : at[k + 1]].decode("utf-8", "replace"))
-                if words:
-                    logit[k] += sum(map(memo.__getitem__, words)) / len(words)
-            score = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+            score = of(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -170,6 +179,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out, threshold: floa
     return map_arrow(rows, _run(docs.sparkSession.sparkContext.broadcast(model), threshold), SCHEMA)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs with a score below the threshold; all columns stay."""
+    model = docs.sparkSession.sparkContext.broadcast(learn_model(docs, labels, ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scorer(model.value)
+        for b in batches:
+            yield b.filter(pa.array(of(b.column("text")) < threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def is_held_out(doc_id):
     return remainder(doc_id, 4) == 2
 
