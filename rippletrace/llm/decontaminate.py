@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import byte_rows, documents, map_arrow, mix, shared_memo
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: The ASCII characters that EDGE takes.
+ASCII_EDGE = bytes(c for c in range(128) if not chr(c).isalnum())
 MATCH, OTHER = 2, 1
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
@@ -149,11 +151,12 @@ def _reader(items: Items):
     """bytes of a text -> numbers of its words."""
 
     def make():
-        number = items.vocabulary.get
+        number = {w.encode(): n.to_bytes(8, "little") for w, n in items.vocabulary.items()}.get
+        none = bytes(8)
 
         def of(word: bytes) -> bytes:
-            w = EDGE.sub("", word.decode()).lower()
-            return number(w, 0).to_bytes(8, "little") if w else b""
+            w = word.strip(ASCII_EDGE).lower() if word.isascii() else EDGE.sub("", word.decode()).lower().encode()
+            return number(w, none) if w else b""
 
         return of
 
