@@ -12,6 +12,7 @@ from rippletrace.operators import edges as E
 from rippletrace.operators import graph as G
 from rippletrace.operators import reach as R
 from rippletrace.operators import report as K
+from rippletrace.operators.durable import durable
 from rippletrace.plans import adapters as A
 from rippletrace.plans import schema as S
 from rippletrace.sources import facts
@@ -84,13 +85,14 @@ RESULT = f"{_reach('all')}, {TESTS}, {SETTERS}, {PAGES}, {METHODS}, {IMPACTED},
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return A.part_nodes(spark, sf_dir), A.part_edges(spark, sf_dir), A.part_changed(spark, sf_dir)
+    """A stored graph, as an index run leaves it, and the changed files."""
+    return durable(A.part_nodes(spark, sf_dir)), durable(A.part_edges(spark, sf_dir)), A.part_changed(spark, sf_dir)
 
 
 def _light(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph without identifiers and methods."""
     f = F.col("file_id")
-    nodes = A.part_files(spark, sf_dir).select("file_id", P.role_of_path(f).alias("role"), P.module_of(f).alias("module"))
+    nodes = durable(A.part_files(spark, sf_dir).select("file_id", P.role_of_path(f).alias("role"), P.module_of(f).alias("module")))
     return nodes, A.part_edges(spark, sf_dir), A.part_changed(spark, sf_dir)
 
 
