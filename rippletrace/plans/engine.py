@@ -12,8 +12,8 @@ from rippletrace.operators.reach import resolve
 from rippletrace.plans import schema as S
 from rippletrace.sources.swift import extract_files
 
-EMPTY_IDENTIFIERS = F.array().cast("array<struct<id_kind:string,key:string>>")
-EMPTY_METHODS = F.array().cast(f"array<{S.METHOD.simpleString()}>")
+EMPTY_IDENTIFIERS = "cast(array() as array<struct<id_kind:string,key:string>>)"
+EMPTY_METHODS = f"cast(array() as array<{S.METHOD.simpleString()}>)"
 
 
 def nodes_of_paths(files: DataFrame, root: str = "") -> DataFrame:
@@ -22,7 +22,7 @@ def nodes_of_paths(files: DataFrame, root: str = "") -> DataFrame:
     return files.select("file_id").distinct().select(
         "file_id", F.concat(F.lit(root), f).alias("path"), role_of_path(f).alias("role"), module_of(f).alias("module"),
         F.array().cast("array<string>").alias("defined_symbols"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("long").alias("mtime"),
-        EMPTY_IDENTIFIERS.alias("a11y_setters"), EMPTY_IDENTIFIERS.alias("a11y_queries"), EMPTY_METHODS.alias("test_methods"),
+        F.expr(EMPTY_IDENTIFIERS).alias("a11y_setters"), F.expr(EMPTY_IDENTIFIERS).alias("a11y_queries"), F.expr(EMPTY_METHODS).alias("test_methods"),
     )
 
 

@@ -120,7 +120,7 @@ def index_counts(occurrences: DataFrame) -> DataFrame:
 
 def dependency_files(spark: SparkSession, root: str) -> DataFrame:
     """file, content of all .d files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.d").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.d")
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
