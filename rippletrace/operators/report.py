@@ -68,3 +68,32 @@ def counts_by_kind(result: DataFrame) -> DataFrame:
 
 def dot_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', "src", "dst", "kind").alias("line"))
+
+
+def summary_text(meta: DataFrame) -> str:
+    m = meta.first()
+    return f"Files: {m['file_count']}\nEdges: {m['edge_count']}\nSources: {', '.join(m['data_sources_used'])}"
+
+
+def inspection_text(node: DataFrame, neighbours: DataFrame) -> str:
+    """Role, symbols, dependents and dependencies of one file."""
+    found = node.first()
+    if found is None:
+        return "File is not in the graph"
+    rows = neighbours.orderBy("direction", "file_id", "kind").collect()
+    out = [f"Role: {found['role']}", f"Symbols: {', '.join(found['defined_symbols'] or [])}"]
+    for title, direction in (("Dependents", "dependent"), ("Dependencies", "dependency")):
+        own = [f"  {r['file_id']} ({r['kind']})" for r in rows if r["direction"] == direction]
+        out += [f"{title}: {len(own)}", *own]
+    return "\n".join(out)
+
+
+def cycles_text(report: DataFrame) -> str:
+    """Count of cycles and the first files of each, then the warnings."""
+    rows = report.orderBy("scc").collect()
+    if not rows:
+        return "No dependency cycles detected."
+    out = [f"Found {len(rows)} dependency cycles:"]
+    for k, r in enumerate(rows, 1):
+        out += ["", f"  Cycle {k} ({r['size']} files):", *(f"    {f}" for f in r["shown_files"]), *([f"    ... and {r['more']} more"] if r["more"] else [])]
+    return "\n".join(out + [w for r in rows if (w := r["warning"])])

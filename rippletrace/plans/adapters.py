@@ -162,3 +162,14 @@ def thinned(edges: DataFrame, reach: int = 40) -> DataFrame:
     """Edges between parts whose keys are near, so that the graph falls into many components."""
     key = lambda c: F.regexp_extract(c, r"P(\d+)", 1).cast("long")
     return edges.where(F.abs(key("src") - key("dst")) <= reach)
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, content: a Swift file for each part, with a view that embeds others, identifiers, a String enum and an alias."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    text = F.format_string(
+        'import SwiftUI\n// struct Ghost {}\nstruct P%d: View {\n  enum Key: String { case a, b = "k%d" }\n  let other: P%d? = nil\n  var body: some View {\n    VStack { P%d(size: 1); P%d() }\n'
+        '      .accessibilityIdentifier("a11y_%d")\n      .accessibilityIdentifier("n\\(count)")\n  }\n  func go(_ q: P%d) { find(Ids.P%d.rawValue) }\n}\ntypealias A%d = P%d.Key\n',
+        "p_partkey", "p_size", F.col("p_partkey") + 1, F.col("p_partkey") + 2, F.col("p_partkey") + 2, F.col("p_partkey") % 97, F.col("p_partkey") + 3, "p_size", "p_partkey", "p_partkey",
+    )
+    return p.select(F.concat(F.lit("Sources/P"), "p_partkey", F.lit(".swift")).alias("file_id"), text.alias("content"))

@@ -16,6 +16,7 @@ from rippletrace.operators.durable import durable
 from rippletrace.plans import adapters as A
 from rippletrace.plans import schema as S
 from rippletrace.sources import facts
+from rippletrace.sources.swift import extract_files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -278,6 +279,23 @@ def newest_store(spark, sf_dir):
     return facts.newest_store(stores, "BUILDING")
 
 
+_K = lambda d: f"'P' || (p_partkey + {d})"
+
+
+@query(
+    f"""SELECT 'Sources/P' || p_partkey || '.swift' AS file_id, 'Source' AS role, ['SwiftUI'] AS imports, list_sort([{_K(0)}, {_K(0)} || '.Key']) AS defines,
+ list_sort(['A' || p_partkey, 'Key', {_K(0)}, {_K(1)}, {_K(3)}]) AS references_, [{_K(2)}, {_K(2)}] AS view_embeddings, 'a11y_' || (p_partkey % 97) AS setter, 'Ids.P' || p_size AS query_,
+ {_K(0)} || '.Key.b=k' || p_size AS constant, {_K(0)} || '.Key' AS target FROM part"""
+)
+def extracted_facts(spark, sf_dir):
+    p = extract_files(A.part_sources(spark, sf_dir))
+    b = F.concat(F.regexp_extract("file_id", r"(P\d+)", 1), F.lit(".Key.b"))
+    return p.select(
+        "file_id", "role", "imports", "defines", F.col("references").alias("references_"), "view_embeddings", F.array_join("a11y_setters.key", ",").alias("setter"),
+        F.array_join("a11y_queries.key", ",").alias("query_"), F.concat(b, F.lit("="), F.element_at("constants", b)).alias("constant"), F.array_join(F.map_values("typealiases"), ",").alias("target"),
+    )
+
+
 # --- inventories and changes -----------------------------------------------------------------------------------
 
 INVENTORY = f"""ev AS (SELECT 'Src/U' || user_id || '.swift' AS file_id, ts, event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE md5(props) END AS sha FROM events),

@@ -206,3 +206,27 @@ def test_stream_of_changes(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     changes.maintain_inventory(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()] == [("A", "a2")]
+
+
+def test_command_line(spark, tmp_path):
+    import subprocess
+
+    from rippletrace.__main__ import main
+
+    root = tmp_path / "repo"
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    for name, text in SOURCES:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    git("init", "-q", "-b", "main")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    at = ["--repo-root", str(root), "--store", str(tmp_path / "store")]
+    assert main([*at, "index"], spark) == "Files: 3\nEdges: 4\nSources: tree-sitter"
+    assert main([*at, "resolve", "--base", "main"], spark) == ""
+    (root / "A.swift").write_text(SOURCES[0][1] + "\n// changed")
+    assert main([*at, "resolve", "--base", "main"], spark) == "AppUITests/PayUITests/testPay"
+    assert main([*at, "resolve", "--base", "main", "--kind", "ui", "--format", "xcodebuild"], spark) == "-only-testing:AppUITests/PayUITests/testPay"
+    assert "Dependents: 4" in main([*at, "graph", "--file", "A.swift"], spark) and main([*at, "graph", "--cycles"], spark) == "No dependency cycles detected."
+    git("commit", "-qam", "two")
+    assert main([*at, "index"], spark).startswith("Files: 3") and main([*at, "graph"], spark).startswith("Files: 3")
