@@ -10,7 +10,7 @@ one look-up a word.
 The fit takes at most ``positives`` and ``negatives`` labelled rows (by hash of the id); only their ids, and then
 their texts, reach the driver. The prior is set back to that of all labelled rows.
 
-Defined results: null or empty text has the score of the prior. Labels that are null, or of null ids, are not learnt;
+Defined results: a text without words (null, empty) has the score of the prior. Labels that are null, or of null ids, are not learnt;
 if a document has several labels the largest counts. Without any label of either kind every score is the prior (0 if
 there is none). A null doc_id is not held out. Repeated rows stay. A table without rows gives none.
 """
@@ -133,7 +133,7 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500
     own = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in own.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
-    plain = {"key": 0, "bucket": None, "bias": float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-50.0 if prior == 0 else 50.0)}
+    plain = {"key": 0, "bucket": None, "prior": float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-50.0 if prior == 0 else 50.0)}
     if not 0 < prior < 1:
         return plain
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003))
@@ -141,7 +141,7 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500
     some = own.where(F.when(F.col("toxic") > 0, h < share(positives, 1)).otherwise(h < share(negatives, 0))).limit(2 * (positives + negatives))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").limit(4 * (positives + negatives)).collect()
     y = [int(r["toxic"] > 0) for r in rows]
-    return train([r["text"] for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
+    return plain | train([r["text"] for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
 
 
 def _scorer(model: dict):
@@ -151,11 +151,11 @@ def _scorer(model: dict):
 
     def score(texts: pa.Array) -> np.ndarray:
         raw, at = byte_rows(texts)
-        logit = np.full(len(texts), model["bias"])
+        logit = np.full(len(texts), model["prior"])
         for k in range(len(texts) if bucket is not None else 0):
             words = _words(raw[at[k] : at[k + 1]].decode("utf-8", "replace"))
             if words:
-                logit[k] += sum(map(memo.__getitem__, words)) / len(words)
+                logit[k] = model["bias"] + sum(map(memo.__getitem__, words)) / len(words)
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
     return score

@@ -19,7 +19,7 @@ def planted(spark, folder):
         rows[i] = " ".join("zogwump" if k % 9 == 2 else w for k, w in enumerate(clean[i].split()))
     base, item, passage = text(120), text(30), text(60)
     rows |= {1000: base, 1001: base, 1002: base.replace(base.split()[60], "other", 1), 1010: text(30) + " " + item + " " + text(30), 1020: text(40) + " " + passage, 1021: passage + " " + text(40)}
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()] + [(None, "no id here", "en", "s", 10), (2000, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()] + [(None, clean[1].upper(), "en", "s", 10), (2000, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
