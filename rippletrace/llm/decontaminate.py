@@ -23,17 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, documents, map_arrow, mix, shared_memo
+from .common import byte_rows, documents, durable, map_arrow, mix, shared_memo
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: The ASCII characters that EDGE takes.
 ASCII_EDGE = bytes(c for c in range(128) if not chr(c).isalnum())
 MATCH, OTHER = 2, 1
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
 def words_of(text: str) -> list[str]:
@@ -51,6 +51,13 @@ class Items:
         self.codes = [grams(w, n)[1] for w in self.words]
         self.known = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.uint64)
         self.key = int(self.known.sum(dtype=np.uint64))
+        # Every n-gram's items and places, by n-gram.
+        item = np.repeat(np.arange(len(self.codes)), [len(c) for c in self.codes])
+        place = np.concatenate([np.arange(len(c)) for c in self.codes]) if self.codes else np.zeros(0, np.int64)
+        number = np.searchsorted(self.known, np.concatenate(self.codes)) if self.codes else np.zeros(0, np.int64)
+        order = np.argsort(number, kind="stable")
+        self.all_item, self.all_place = item[order], place[order]
+        self.all_at = np.searchsorted(number[order], np.arange(len(self.known) + 1))
 
     def seeds(self, held: np.ndarray, spread: int) -> None:
         """Chooses the seeds, given the number of documents that hold each known n-gram: flat arrays by rising code."""
@@ -96,46 +103,51 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int, float, int, int]]:
-    """item (number), score, first and last word (exclusive) of the best copy of each item that a text has."""
-    at, code = grams(ids, items.n)
-    if not len(at) or not len(items.code):
-        return []
-    lo, hi = np.searchsorted(items.code, code, "left"), np.searchsorted(items.code, code, "right")
-    many = hi - lo
-    if not many.any():
-        return []
-    flat = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    item, begin = items.item[flat], np.repeat(at, many) - items.place[flat]
-    order = np.lexsort((begin, item))
-    item, begin = item[order], begin[order]
-    best: dict[int, tuple[float, int, int]] = {}
+def windows(item: np.ndarray, begin: np.ndarray, items: Items, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, np.ndarray, int]]:
+    """For hits (item, where it would begin), sorted: first and last (exclusive) hit that one window holds, item, window, its first word."""
     k = 0
     while k < len(item):
-        i, first = int(item[k]), int(begin[k])
+        i, first, from_ = int(item[k]), int(begin[k]), k
         own = items.words[i]
         slack = 4 + len(own) // 2
         last = first
-        while k < len(item) and item[k] == i and begin[k] <= first + slack:  # hits that one window holds
+        while k < len(item) and item[k] == i and begin[k] <= first + slack:
             last = int(begin[k])
             k += 1
-        if i in best and best[i][0] == 1.0:
-            continue
-        perfect = MATCH * len(own)
-        if first == last and first >= 0 and np.array_equal(ids[first : first + len(own)], own):
-            best[i] = (1.0, first, first + len(own))
-            continue
         a, b = max(0, first - slack), min(len(ids), last + len(own) + slack)
-        window = ids[a:b]
-        common = _common(own, window)
-        if common < threshold * len(own):
-            continue
-        score, end = align(own, window)
-        if score < threshold * perfect or (i in best and best[i][0] >= score / perfect):
-            continue
-        _, back = align(own[::-1], window[:end][::-1])
-        best[i] = (score / perfect, a + end - back, a + end)
-    return [(i, *found) for i, found in sorted(best.items())]
+        if _common(own, ids[a:b]) >= threshold * len(own):
+            yield from_, k, i, ids[a:b], a
+
+
+def score(own: np.ndarray, window: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+    """Share of a perfect alignment, first and last word (exclusive) of the best local one, if it reaches the threshold."""
+    perfect = MATCH * len(own)
+    best, end = align(own, window)
+    if best < threshold * perfect:
+        return None
+    _, back = align(own[::-1], window[:end][::-1])
+    return best / perfect, end - back, end
+
+
+def matches(ids: np.ndarray, items: Items, threshold: float) -> bool:
+    """Whether a text holds a copy of an item."""
+    at, code = grams(ids, items.n)
+    if not len(at) or not len(items.code):
+        return False
+    lo, hi = np.searchsorted(items.code, code, "left"), np.searchsorted(items.code, code, "right")
+    if not (hi > lo).any():
+        return False
+    item, begin, _ = _hits(at, lo, hi, items.item, items.place)
+    return any(score(items.words[i], window, threshold) for _, _, i, window, _ in windows(item, begin, items, ids, threshold))
+
+
+def _hits(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """item, begin and n-gram number of all hits, by item and begin; each n-gram at ``at`` has the entries lo to hi."""
+    many = hi - lo
+    flat = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    which, begin = np.repeat(np.arange(len(at)), many), np.repeat(at, many) - place[flat]
+    order = np.lexsort((begin, item[flat]))
+    return item[flat][order], begin[order], which[order]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -164,68 +176,98 @@ def _reader(items: Items):
     return lambda raw: np.frombuffer(b"".join(map(look, raw.split())), np.int64)
 
 
-def _counter(broadcast):
-    """Rows (code, documents that hold it): a row a task and n-gram at most."""
+def _scan(broadcast, threshold: float | None):
+    """Rows of n-grams (number, documents that hold it; one a task and n-gram at most) and, with a threshold, of windows
+    that hold enough words of an item: text row, doc_id, item, first word, words, numbers of the n-grams hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = broadcast.value
-        read, total = _reader(items), np.zeros(len(items.known), np.int64)
+        read, total, row = _reader(items), np.zeros(len(items.known), np.int64), TaskContext.get().partitionId() << 33
         for b in batches:
             raw, at = byte_rows(b.column("text"))
+            docs = b.column("doc_id").to_pylist()
+            found = []
             for k in range(b.num_rows):
-                _, code = grams(read(raw[at[k] : at[k + 1]]), items.n)
-                if len(code) and len(items.known):
-                    code = np.unique(code)
-                    p = np.minimum(np.searchsorted(items.known, code), len(items.known) - 1)
-                    total[p[items.known[p] == code]] += 1
+                row += 1
+                ids = read(raw[at[k] : at[k + 1]])
+                place, code = grams(ids, items.n)
+                if not len(code) or not len(items.known):
+                    continue
+                number = np.minimum(np.searchsorted(items.known, code), len(items.known) - 1)
+                hit = items.known[number] == code
+                if not hit.any():
+                    continue
+                place, number = place[hit], number[hit]
+                total[np.unique(number)] += 1
+                if threshold is not None:
+                    item, begin, which = _hits(place, items.all_at[number], items.all_at[number + 1], items.all_item, items.all_place)
+                    for lo, hi, i, window, first in windows(item, begin, items, ids, threshold):
+                        found.append((row, docs[k], i, first, window.astype(np.int32).tobytes(), number[which[lo:hi]].astype(np.int32).tobytes()))
+            if found:
+                yield _rows(None, None, *zip(*found))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
+        yield _rows(some, total[some])
 
     return run
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, n: int, spread: int, block: int) -> Iterator:
-    """Broadcast ``Items`` with seeds, a block at a time."""
+SCANNED = "gram long, n long, row long, doc_id long, item long, first long, words binary, grams binary"
+
+
+def _rows(gram, n, *found) -> pa.RecordBatch:
+    size = len(gram) if gram is not None else len(found[0])
+    empty = [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+    own = [pa.array(gram), pa.array(n), *empty[2:]] if gram is not None else [*empty[:2], *(pa.array(c, e.type) for c, e in zip(found, empty[2:]))]
+    return pa.RecordBatch.from_arrays(own, [c.split()[0] for c in SCANNED.split(", ")])
+
+
+def blocks(docs: DataFrame, benchmark: DataFrame, n: int, spread: int, block: int, threshold: float | None = None) -> Iterator[tuple]:
+    """Broadcast ``Items`` with seeds, a block at a time, and the windows that the scan for counts found, if a threshold is given."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = max(1, -(-int(size) // block))
     sc = docs.sparkSession.sparkContext
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect() if parts > 1 else rows.collect()
         items = Items([(r["item_id"], r["text"]) for r in own], n)
-        counted = map_arrow(docs.select("text"), _counter(sc.broadcast(items)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        scanned = map_arrow(source, _scan(sc.broadcast(items), threshold), SCANNED)
+        scanned = durable(scanned) if threshold is not None else scanned
         held = np.zeros(len(items.known), np.int64)
-        for r in counted:
+        for r in scanned.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             held[r["gram"]] = r["n"]
         items.seeds(held, spread)
-        yield sc.broadcast(items)
+        yield sc.broadcast(items), scanned.where("row is not null")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, spread: int = 2, block: int = 500_000) -> DataFrame:
-    """doc_id, item_id, score (0 to 1), start_word and end_word of the best copy, for all pairs of at least the threshold."""
+    """doc_id, item_id, score (0 to 1), start_word and end_word of the best copy, for all pairs of at least the threshold.
+
+    Texts are read once for each block: the scan that counts n-grams also keeps the few windows with enough words of an
+    item; those with a seed are aligned once the counts are known."""
 
     def run_of(broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = broadcast.value
-            read = _reader(items)
+            seed = set(zip(items.item.tolist(), np.searchsorted(items.known, items.code).tolist()))
             for b in batches:
-                raw, at = byte_rows(b.column("text"))
-                rows = [
-                    (doc, items.names[i], score, lo, hi)
-                    for k, doc in enumerate(b.column("doc_id").to_pylist())
-                    for i, score, lo, hi in matches(read(raw[at[k] : at[k + 1]]), items, threshold)
-                ]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                rows = []
+                for row, doc, i, first, words, hit in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "item", "first", "words", "grams"))):
+                    if any((i, g) in seed for g in np.frombuffer(hit, np.int32).tolist()):
+                        found = score(items.words[i], np.frombuffer(words, np.int32).astype(np.int64), threshold)
+                        if found:
+                            rows.append((row, doc, i, items.names[i], found[0], first + found[1], first + found[2]))
+                cols = list(zip(*rows)) if rows else [[]] * 7
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "doc_id", "item", "item_id", "score", "start_word", "end_word"])
 
         return run
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for items in blocks(docs, benchmark, n, spread, block):
-        found = map_arrow(source, run_of(items), SCHEMA)
-        out = found if out is None else out.unionByName(found)
+    for items, found in blocks(docs, benchmark, n, spread, block, threshold):
+        scored = map_arrow(found, run_of(items), "row long, doc_id long, item long, item_id long, score double, start_word long, end_word long")
+        best = scored.groupBy("row", "item").agg(F.max_by(F.struct("doc_id", "item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("r")).select("r.*")
+        out = best if out is None else out.unionByName(best)
     return out
 
 
@@ -243,7 +285,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         return run
 
     out = docs
-    for items in blocks(docs, benchmark, n, spread, block):
+    for items, _ in blocks(docs, benchmark, n, spread, block):
         out = map_arrow(out, run_of(items), docs.schema)
     return out
 
