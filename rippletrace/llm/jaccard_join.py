@@ -235,14 +235,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8) -> DataFr
     # Light sets: an equal subset proves the link to the least set of the smaller size.
     subsets = listed.where("kind = 1").select("key", "fp", "n", F.col("pos").alias("lo")).distinct()
     first = subsets.groupBy("key").agg(F.min(F.struct("n", "fp")).alias("p"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "p")
-    links = subsets.join(first.hint("merge"), F.col("key") == F.col("k")).where("p.n = lo and p.fp != fp").select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    links = subsets.join(durable(first).hint("merge"), F.col("key") == F.col("k")).where("p.n = lo and p.fp != fp").select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
     # Heavy sets: inverted lists with their number of sets and most central set.
     entries = listed.where("kind = 0").groupBy("key", "fp").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     heads = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "fp")).alias("p")).where("c > 1")
     heads = heads.select(F.col("key").alias("k"), "c", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
-    # Joins by list keep their sort-merge form, in which adaptive execution splits the entries of a hot list.
-    lists = durable(entries.join(heads.hint("merge"), F.col("key") == F.col("k")).drop("k"))
+    # Joins by list are sort-merge joins of two plain shuffles, in which adaptive execution splits the entries of a hot
+    # list; so what is grouped by list is made durable before.
+    lists = durable(entries.join(durable(heads).hint("merge"), F.col("key") == F.col("k")).drop("k"))
     col = F.col
     with_head = lists.where(col("fp") != col("p_fp")).where(_possible(col("n"), col("pos"), col("p_n"), col("p_pos")))
     other = lists.where("c between 3 and %d" % short).select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"))
@@ -255,14 +256,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8) -> DataFr
     for last in (False, True):
         rows = _rooted(long, roots)
         open_ = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(col("key").alias("k"), "r1")
-        rows = durable(rows.join(open_.hint("merge"), col("key") == col("k")).drop("k"))
+        rows = durable(rows.join(durable(open_).hint("merge"), col("key") == col("k")).drop("k"))
         if rows.isEmpty():
             break
         if last:
             partner = rows.select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"), col("root").alias("o_root"))
         else:  # one more centre for each list: of another class than the greatest
             best = rows.where("root != r1").groupBy("key").agg(F.min(F.struct("pos", "n", "fp", "root")).alias("p"))
-            partner = best.select(col("key").alias("k"), col("p.fp").alias("o_fp"), col("p.n").alias("o_n"), col("p.pos").alias("o_pos"), col("p.root").alias("o_root"))
+            partner = durable(best).select(col("key").alias("k"), col("p.fp").alias("o_fp"), col("p.n").alias("o_n"), col("p.pos").alias("o_pos"), col("p.root").alias("o_root"))
         order = col("root") < col("o_root") if last else col("root") != col("o_root")
         more = rows.join(partner.hint("merge"), (col("key") == col("k")) & order).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
         more = durable(_pairs(more, "o_fp").join(seen, ["a", "b"], "left_anti"))
