@@ -52,9 +52,17 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+ROWS = 512
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(f, schema), but ``f`` gets at most ``ROWS`` rows at a time, so what it copies or holds of a batch stays small."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def byte_rows(column: pa.Array) -> tuple[bytes, list[int]]:
@@ -89,7 +97,7 @@ class Memo(dict):
     """word -> value, computed at the first look-up. At most ``most`` young and as many old entries are held: when the
     young ones are full they become the old ones, and a word that is met again becomes young again."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 300_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -107,7 +115,7 @@ class Memo(dict):
 _memo: dict[str, Memo] = {}
 
 
-def shared_memo(name: str, make: Callable[[], Callable], most: int = 400_000) -> Memo:
+def shared_memo(name: str, make: Callable[[], Callable], most: int = 300_000) -> Memo:
     """The Memo of this worker process under that name; it outlives a task. One is kept at a time."""
     if name not in _memo:
         _memo.clear()
