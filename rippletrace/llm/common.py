@@ -88,11 +88,6 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def partitions_for(df: DataFrame, least: int = 1) -> int:
-    """Parts for data that is grouped by a number instead of a key: as many as Spark's own shuffles have."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 class Memo(dict):
     """word -> value, computed at the first look-up. At most ``most`` young and as many old entries are held: when the
     young ones are full they become the old ones, and a word that is met again becomes young again."""
