@@ -123,7 +123,7 @@ def inventories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """usr, sym_kind, role, path, ord: line items as occurrences of the suppliers' symbols in the parts' files."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     kind = F.element_at(F.array(*map(F.lit, ("class", "struct", "enum", "function"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
     role = F.when(F.col("l_linenumber") == 1, "definition").otherwise("reference")
     return li.select(
@@ -133,7 +133,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dependency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, content in makefile form: an object of each order and the parts of its lines, with a comment and continued lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("k"), F.min("l_partkey").alias("o"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("k"), F.min("l_partkey").alias("o"))
     inputs = F.array_join(F.transform("k", lambda x: F.when(x % 9 == 0, F.concat(F.lit("/x/SDKs/P"), x, F.lit(".swift"))).when(x % 13 == 0, F.concat(F.lit("Sources/P"), x, F.lit(".h"))).otherwise(F.concat(F.lit("Sources/P"), x, F.lit(".swift")))), " \\\n  ")
     head = F.when(F.col("l_orderkey") % 15 == 0, F.lit("# made by a build\n\n")).otherwise("")
     rule = F.when(F.col("l_orderkey") % 35 == 0, F.lit("no rule here")).otherwise(F.concat(F.lit("/tmp/build/P"), "o", F.lit(".o : "), inputs))
