@@ -77,7 +77,7 @@ def part_changed(spark: SparkSession, sf_dir: str, every: int = 100) -> DataFram
 
 def document_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """refs (distinct capitalised words of a text) and defs (the least one of each text), as (file_id, symbol)."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     words = F.regexp_extract_all("text", F.lit("(^|[^A-Za-z])([A-Z][a-z]{3,})"), F.lit(2))
     refs = docs.select(F.concat(F.lit("Docs/D"), F.col("doc_id"), F.lit(".swift")).alias("file_id"), F.explode(F.array_distinct(words)).alias("symbol"))
     return refs, refs.groupBy("file_id").agg(F.min("symbol").alias("symbol"))

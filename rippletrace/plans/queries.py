@@ -187,7 +187,7 @@ def symbol_edges(spark, sf_dir):
 )
 def view_edges(spark, sf_dir):
     refs, defs = A.document_symbols(spark, sf_dir)
-    return E.view_edges(refs.where("length(symbol) % 2 = 0").unionAll(refs.where("length(symbol) % 4 = 0")), defs)
+    return E.view_edges(refs.unionAll(refs.where("length(symbol) % 4 = 0")), defs)
 
 
 @query(f"WITH {SYMBOLS}, two AS (SELECT file_id, symbol FROM defs UNION SELECT file_id, max(symbol) FROM refs GROUP BY file_id), e AS (SELECT d.file_id AS src, r.file_id AS dst FROM refs r JOIN two d ON d.symbol = r.symbol WHERE {_REFS}) SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst HAVING count(*) > 1")

@@ -56,3 +56,17 @@ def test_dependency_files_of_all_orders(spark, folder, tables):
     home = lambda p: f"Lib/P{p}.swift" if p % 10 == 0 else f"Sources/P{p}.swift"
     edges = Counter((of(p), home(min(k)), "DirectReference") for o, k in keys.items() if o % 35 for p in k if p % 9 and p % 13 and of(p) != home(min(k)))
     assert got(spark, folder, "dotd_edges", "src", "dst", "kind") == edges
+
+
+def test_symbols_of_all_documents(spark, tmp_path):
+    rng = random.Random(6)
+    pool = ["Alpha", "Betas", "Gammas", "Deltas", "Epsilon", "Zetas", "Thetas", "Iotas", "Kappa", "Lambda", "Sigmas", "Omegas"]
+    docs = [(i, " ".join(rng.choice(["so", "it", *pool]) for _ in range(6)), rng.choice(["en", "de", None])) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    refs = {f"Docs/D{i}.swift": {w for w in t.split() if w in pool} for i, t, _ in docs}
+    refs = {f: ws for f, ws in refs.items() if ws}
+    pairs = lambda defs, times: Counter((d, r) for d, ds in defs.items() for r, ws in refs.items() if r != d for w in ds & ws for _ in range(times(w)))
+    one, two = {f: {min(ws)} for f, ws in refs.items()}, {f: {min(ws), max(ws)} for f, ws in refs.items()}
+    assert got(spark, str(tmp_path), "symbol_edges", "src", "dst") == pairs(one, lambda w: 1)
+    assert got(spark, str(tmp_path), "view_edges", "src", "dst") == pairs(one, lambda w: 1 + (len(w) % 4 == 0))
+    assert got(spark, str(tmp_path), "edge_multiplicity", "src", "dst", "n") == Counter((*p, n) for p, n in pairs(two, lambda w: 1).items() if n > 1)
