@@ -158,12 +158,6 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def thinned(edges: DataFrame, reach: int = 40) -> DataFrame:
-    """Edges between parts whose keys are near, so that the graph falls into many components."""
-    key = lambda c: F.regexp_extract(c, r"P(\d+)", 1).cast("long")
-    return edges.where(F.abs(key("src") - key("dst")) <= reach)
-
-
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, content: a Swift file for each part, with a view that embeds others, identifiers, a String enum and an alias."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")

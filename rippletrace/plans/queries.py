@@ -475,7 +475,7 @@ report AS (SELECT scc, count(*) AS size, list(file_id ORDER BY file_id) AS files
 
 @query(f"{THIN} SELECT scc, size, files FROM report")
 def cycles(spark, sf_dir):
-    return C.cycle_report(A.thinned(A.part_edges(spark, sf_dir))).select("scc", "size", "files")
+    return C.cycle_report(A.part_edges(spark, sf_dir)).select("scc", "size", "files")
 
 
 @query(
@@ -483,7 +483,7 @@ def cycles(spark, sf_dir):
  || '  These files will always be tested together, reducing TIA effectiveness.' || chr(10) || '  Consider breaking the cycle to improve test isolation.' END AS warning FROM report"""
 )
 def cycle_warnings(spark, sf_dir):
-    return C.cycle_report(A.thinned(A.part_edges(spark, sf_dir))).select("scc", "shown_files", "more", "warning")
+    return C.cycle_report(A.part_edges(spark, sf_dir)).select("scc", "shown_files", "more", "warning")
 
 
 # --- formats ---------------------------------------------------------------------------------------------------

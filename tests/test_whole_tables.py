@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from rippletrace.plans import adapters as A
 from rippletrace.plans.queries import QUERIES
 
 SUPPLIERS = [(s, s % 25) for s in range(1, 301)]
@@ -70,3 +71,19 @@ def test_symbols_of_all_documents(spark, tmp_path):
     assert got(spark, str(tmp_path), "symbol_edges", "src", "dst") == pairs(one, lambda w: 1)
     assert got(spark, str(tmp_path), "view_edges", "src", "dst") == pairs(one, lambda w: 1 + (len(w) % 4 == 0))
     assert got(spark, str(tmp_path), "edge_multiplicity", "src", "dst", "n") == Counter((*p, n) for p, n in pairs(two, lambda w: 1).items() if n > 1)
+
+
+def test_cycles_over_all_edges(spark, folder, tables):
+    name = {r.p_partkey: r.file_id for r in A.part_files(spark, folder).collect()}
+    at = {(o, n): p for o, n, p, _, _ in tables[1]}
+    reach = {p: set() for p in name}
+    for (o, n), p in at.items():
+        if at.get((o, n + 1), p) != p:
+            reach[p].add(at[o, n + 1])
+    far = any(abs(a - b) > 40 for a, bs in reach.items() for b in bs)
+    while any(more - reach[a] for a in reach if (more := set().union(*(reach[b] for b in reach[a])))):
+        reach = {a: bs.union(*(reach[b] for b in bs)) for a, bs in reach.items()}
+    groups = {tuple(sorted(name[b] for b in {a} | {b for b in reach[a] if a in reach[b]})) for a in reach}
+    want = {g for g in groups if len(g) > 1}
+    assert far and want and got(spark, folder, "cycles", "scc", "size", "files") == Counter((g[0], len(g), g) for g in want)
+    assert got(spark, folder, "cycle_warnings", "scc", "shown_files", "more") == Counter((g[0], g[:10], max(0, len(g) - 10)) for g in want)
