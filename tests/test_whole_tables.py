@@ -87,3 +87,22 @@ def test_cycles_over_all_edges(spark, folder, tables):
     want = {g for g in groups if len(g) > 1}
     assert far and want and got(spark, folder, "cycles", "scc", "size", "files") == Counter((g[0], len(g), g) for g in want)
     assert got(spark, folder, "cycle_warnings", "scc", "shown_files", "more") == Counter((g[0], g[:10], max(0, len(g) - 10)) for g in want)
+
+
+def test_constants_of_all_suppliers(spark, folder):
+    last = {}
+    for s, _ in sorted(SUPPLIERS):
+        last |= {f"Ids.{s % 97}": f"a11y_{s % 97}", f"Ids{s % 3}.{s % 97}": f"a11y_{s * 2 % 97}"}
+    alias = {"Ids" if n == 0 else f"Alias{n}": f"Ids{s % 3}" for s, n in sorted(SUPPLIERS)}
+
+    def keys(kind, key):
+        head, _, tail = key.partition(".")
+        long = f"{alias[head]}.{tail}" if kind == "Symbolic" and head in alias else None
+        return tuple(sorted({key, long, last.get(key) if kind == "Symbolic" else None, last.get(long)} - {None}))
+
+    facts = A.a11y_facts(spark, folder).collect()
+    want = {(f.side, f.id_kind, f.key, keys(f.id_kind, f.key)) for f in facts}
+    assert any(len(w[3]) > 2 for w in want) and got(spark, folder, "canonical_keys", "side", "id_kind", "key", "keys") == Counter(want)
+    named = {s: {(f.file_id, k) for f in facts if f.side == s for k in keys(f.id_kind, f.key)} for s in ("setter", "query")}
+    edges = {(a, b) for a, x in named["setter"] for b, y in named["query"] if x == y and a != b}
+    assert got(spark, folder, "a11y_edges", "src", "dst") == Counter(edges)
