@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram hits, then Smith-Waterman alignment.
 
-Each test item gives seeds: of every ``spread`` word n-grams in a row, the one that the fewest documents of the corpus
-hold (document counts cover all documents). Rarity only orders the n-grams of an item, so a passage that a third of
-all documents copy keeps its seeds too; any copy that shares n + spread - 1 words in a row is met. Where a document
-has a seed, the item is aligned with the words around (match 2, mismatch -1, gap -1); the score is the best local
-alignment's share of a perfect one's. Windows that have too few of the item's words for the threshold are left out
-before, which is exact.
+Every word n-gram of a test item is a seed, so any copy that keeps n words in a row is met. Where a document has a
+seed, the item is aligned with the words around (match 2, mismatch -1, gap -1); the score is the best local
+alignment's share of a perfect one's. The words around reach as far as an alignment of the threshold's score can.
+Windows that have too few of the item's words for the threshold are left out before, which is exact.
 
 The benchmark is the stated query set: it goes to the workers in blocks of at most ``block`` n-grams, so any size of
-it has bounded memory, and all documents are read for each block. There is no shuffle of texts.
+it has bounded memory, and all documents are read for each block. There is no shuffle.
 
 Words are the pieces between white space, lower-cased, without punctuation around them.
 
@@ -23,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, documents, durable, map_arrow, mix, shared_memo
+from .common import byte_rows, documents, map_arrow, mix, shared_memo
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: The ASCII characters that EDGE takes.
@@ -59,20 +57,6 @@ class Items:
         self.all_item, self.all_place = item[order], place[order]
         self.all_at = np.searchsorted(number[order], np.arange(len(self.known) + 1))
 
-    def seeds(self, held: np.ndarray, spread: int) -> None:
-        """Chooses the seeds, given the number of documents that hold each known n-gram: flat arrays by rising code."""
-        code, item, at = [], [], []
-        for k, c in enumerate(self.codes):
-            h = held[np.searchsorted(self.known, c)]
-            chosen = {lo + int(np.argmin(h[lo : lo + spread])) for lo in range(max(1, len(c) - spread + 1))} if len(c) else set()
-            for p in sorted(chosen):
-                code.append(c[p])
-                item.append(k)
-                at.append(p)
-        order = np.argsort(np.array(code, np.uint64), kind="stable")
-        self.code = np.array(code, np.uint64)[order]
-        self.item, self.place = np.array(item, np.int64)[order], np.array(at, np.int64)[order]
-
 
 def grams(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and codes of the n-grams without an unknown word (0)."""
@@ -103,20 +87,22 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def windows(item: np.ndarray, begin: np.ndarray, items: Items, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, np.ndarray, int]]:
-    """For hits (item, where it would begin), sorted: first and last (exclusive) hit that one window holds, item, window, its first word."""
+def windows(item: np.ndarray, begin: np.ndarray, items: Items, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, int]]:
+    """For hits (item, where it would begin), sorted: item, window, its first word.
+
+    Each gap costs OTHER, so an alignment that reaches the threshold has at most ``slack`` of them and lies within its hit's window."""
     k = 0
     while k < len(item):
-        i, first, from_ = int(item[k]), int(begin[k]), k
+        i, first = int(item[k]), int(begin[k])
         own = items.words[i]
-        slack = 4 + len(own) // 2
+        slack = int(MATCH * len(own) * (1 - threshold) / OTHER) + 1
         last = first
         while k < len(item) and item[k] == i and begin[k] <= first + slack:
             last = int(begin[k])
             k += 1
         a, b = max(0, first - slack), min(len(ids), last + len(own) + slack)
         if _common(own, ids[a:b]) >= threshold * len(own):
-            yield from_, k, i, ids[a:b], a
+            yield i, ids[a:b], a
 
 
 def score(own: np.ndarray, window: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
@@ -129,25 +115,29 @@ def score(own: np.ndarray, window: np.ndarray, threshold: float) -> tuple[float,
     return best / perfect, end - back, end
 
 
-def matches(ids: np.ndarray, items: Items, threshold: float) -> bool:
-    """Whether a text holds a copy of an item."""
+def _found(ids: np.ndarray, items: Items, threshold: float) -> Iterator[tuple[int, float, int, int]]:
+    """item, score, first and last word (exclusive) of the copies in a text, one for each window that has one."""
     at, code = grams(ids, items.n)
-    if not len(at) or not len(items.code):
-        return False
-    lo, hi = np.searchsorted(items.code, code, "left"), np.searchsorted(items.code, code, "right")
-    if not (hi > lo).any():
-        return False
-    item, begin, _ = _hits(at, lo, hi, items.item, items.place)
-    return any(score(items.words[i], window, threshold) for _, _, i, window, _ in windows(item, begin, items, ids, threshold))
-
-
-def _hits(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """item, begin and n-gram number of all hits, by item and begin; each n-gram at ``at`` has the entries lo to hi."""
+    if not len(at) or not len(items.known):
+        return
+    number = np.minimum(np.searchsorted(items.known, code), len(items.known) - 1)
+    hit = items.known[number] == code
+    if not hit.any():
+        return
+    item, begin = _hits(at[hit], items.all_at[number[hit]], items.all_at[number[hit] + 1], items.all_item, items.all_place)
+    for i, window, first in windows(item, begin, items, ids, threshold):
+        found = score(items.words[i], window, threshold)
+        if found:
+            yield i, found[0], first + found[1], first + found[2]
+
+
+def _hits(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """item and begin of all hits, by item and begin; each n-gram at ``at`` has the entries lo to hi."""
     many = hi - lo
     flat = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    which, begin = np.repeat(np.arange(len(at)), many), np.repeat(at, many) - place[flat]
+    begin = np.repeat(at, many) - place[flat]
     order = np.lexsort((begin, item[flat]))
-    return item[flat][order], begin[order], which[order]
+    return item[flat][order], begin[order]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -176,102 +166,48 @@ def _reader(items: Items):
     return lambda raw: np.frombuffer(b"".join(map(look, raw.split())), np.int64)
 
 
-def _scan(broadcast, threshold: float | None):
-    """Rows of n-grams (number, documents that hold it; one a task and n-gram at most) and, with a threshold, of windows
-    that hold enough words of an item: text row, doc_id, item, first word, words, numbers of the n-grams hit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = broadcast.value
-        read, total, row = _reader(items), np.zeros(len(items.known), np.int64), TaskContext.get().partitionId() << 33
-        for b in batches:
-            raw, at = byte_rows(b.column("text"))
-            docs = b.column("doc_id").to_pylist()
-            found = []
-            for k in range(b.num_rows):
-                row += 1
-                ids = read(raw[at[k] : at[k + 1]])
-                place, code = grams(ids, items.n)
-                if not len(code) or not len(items.known):
-                    continue
-                number = np.minimum(np.searchsorted(items.known, code), len(items.known) - 1)
-                hit = items.known[number] == code
-                if not hit.any():
-                    continue
-                place, number = place[hit], number[hit]
-                total[np.unique(number)] += 1
-                if threshold is not None:
-                    item, begin, which = _hits(place, items.all_at[number], items.all_at[number + 1], items.all_item, items.all_place)
-                    for lo, hi, i, window, first in windows(item, begin, items, ids, threshold):
-                        found.append((row, docs[k], i, first, window.astype(np.int32).tobytes(), number[which[lo:hi]].astype(np.int32).tobytes()))
-            if found:
-                yield _rows(None, None, *zip(*found))
-        some = np.flatnonzero(total)
-        yield _rows(some, total[some])
-
-    return run
-
-
-SCANNED = "gram long, n long, row long, doc_id long, item long, first long, words binary, grams binary"
-
-
-def _rows(gram, n, *found) -> pa.RecordBatch:
-    size = len(gram) if gram is not None else len(found[0])
-    empty = [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-    own = [pa.array(gram), pa.array(n), *empty[2:]] if gram is not None else [*empty[:2], *(pa.array(c, e.type) for c, e in zip(found, empty[2:]))]
-    return pa.RecordBatch.from_arrays(own, [c.split()[0] for c in SCANNED.split(", ")])
-
-
-def blocks(docs: DataFrame, benchmark: DataFrame, n: int, spread: int, block: int, threshold: float | None = None) -> Iterator[tuple]:
-    """Broadcast ``Items`` with seeds, a block at a time, and the windows that the scan for counts found, if a threshold is given."""
+def blocks(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> Iterator[Broadcast]:
+    """Broadcast ``Items``, a block at a time."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = max(1, -(-int(size) // block))
-    sc = docs.sparkSession.sparkContext
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect() if parts > 1 else rows.collect()
-        items = Items([(r["item_id"], r["text"]) for r in own], n)
-        scanned = map_arrow(source, _scan(sc.broadcast(items), threshold), SCANNED)
-        scanned = durable(scanned) if threshold is not None else scanned
-        held = np.zeros(len(items.known), np.int64)
-        for r in scanned.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            held[r["gram"]] = r["n"]
-        items.seeds(held, spread)
-        yield sc.broadcast(items), scanned.where("row is not null")
+        yield docs.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in own], n))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, spread: int = 2, block: int = 500_000) -> DataFrame:
-    """doc_id, item_id, score (0 to 1), start_word and end_word of the best copy, for all pairs of at least the threshold.
+LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
 
-    Texts are read once for each block: the scan that counts n-grams also keeps the few windows with enough words of an
-    item; those with a seed are aligned once the counts are known."""
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 500_000) -> DataFrame:
+    """doc_id, item_id, score (0 to 1), start_word and end_word of the best copy, for all pairs of at least the threshold. Texts are read once for each block."""
 
     def run_of(broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = broadcast.value
-            seed = set(zip(items.item.tolist(), np.searchsorted(items.known, items.code).tolist()))
+            read = _reader(items)
             for b in batches:
+                raw, at = byte_rows(b.column("text"))
                 rows = []
-                for row, doc, i, first, words, hit in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "item", "first", "words", "grams"))):
-                    if any((i, g) in seed for g in np.frombuffer(hit, np.int32).tolist()):
-                        found = score(items.words[i], np.frombuffer(words, np.int32).astype(np.int64), threshold)
-                        if found:
-                            rows.append((row, doc, i, items.names[i], found[0], first + found[1], first + found[2]))
-                cols = list(zip(*rows)) if rows else [[]] * 7
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "doc_id", "item", "item_id", "score", "start_word", "end_word"])
+                for k, doc in enumerate(b.column("doc_id").to_pylist()):
+                    best: dict[int, tuple[float, int, int]] = {}
+                    for i, share, start, end in _found(read(raw[at[k] : at[k + 1]]), items, threshold):
+                        best[i] = max(best.get(i, (0.0, 0, 0)), (share, -start, end))
+                    rows += [(doc, items.names[i], share, -start, end) for i, (share, start, end) in best.items()]
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in LEAKS.split(", ")])
 
         return run
 
     out = None
-    for items, found in blocks(docs, benchmark, n, spread, block, threshold):
-        scored = map_arrow(found, run_of(items), "row long, doc_id long, item long, item_id long, score double, start_word long, end_word long")
-        best = scored.groupBy("row", "item").agg(F.max_by(F.struct("doc_id", "item_id", "score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("r")).select("r.*")
-        out = best if out is None else out.unionByName(best)
+    for items in blocks(docs, benchmark, n, block):
+        found = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run_of(items), LEAKS)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, spread: int = 2, block: int = 500_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 500_000) -> DataFrame:
     """The rows of docs that hold no item of the benchmark; all columns stay."""
 
     def run_of(broadcast):
@@ -280,12 +216,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             read = _reader(items)
             for b in batches:
                 raw, at = byte_rows(b.column("text"))
-                yield b.filter(pa.array([not matches(read(raw[at[k] : at[k + 1]]), items, threshold) for k in range(b.num_rows)], pa.bool_()))
+                yield b.filter(pa.array([next(_found(read(raw[at[k] : at[k + 1]]), items, threshold), None) is None for k in range(b.num_rows)], pa.bool_()))
 
         return run
 
     out = docs
-    for items, _ in blocks(docs, benchmark, n, spread, block):
+    for items in blocks(docs, benchmark, n, block):
         out = map_arrow(out, run_of(items), docs.schema)
     return out
 

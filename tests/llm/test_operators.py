@@ -264,6 +264,28 @@ def test_leaks(spark, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in [*texts, (500, 0), (501, 0)]} - {d for d, _ in got}
 
 
+def test_leaks_with_short_runs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (11, 15, 15, 20, 30)]
+    copies = [[w if k % 4 != 3 else word() for k, w in enumerate(a)] for a in items]  # intact runs of three words
+    copies += [[w for k, x in enumerate(a) for w in ([x] if k < 8 else [x, word()])] for a in items]  # drifts far from where its run begins
+    copies += [[w if rng.random() > 0.25 else word() for w in a] for a in items for _ in range(20)]
+    texts = [(i, " ".join([word() for _ in range(9)] + c + [word() for _ in range(9)])) for i, c in enumerate(copies)]
+    bench = spark.createDataFrame([(k, " ".join(a)) for k, a in enumerate(items)], "item_id long, text string")
+    want = {}
+    for doc, text in texts:
+        b = text.split()
+        for k, a in enumerate(items):
+            share = smith_waterman(a, b) / (2 * len(a))
+            if share >= 0.5 and {tuple(a[i : i + 3]) for i in range(len(a) - 2)} & {tuple(b[i : i + 3]) for i in range(len(b) - 2)}:
+                want[doc, k] = share
+    assert all((k, k) in want and (5 + k, k) in want for k in range(5))
+    docs = table(spark, texts)
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()} == pytest.approx(want)
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------
 
 URLS = [
