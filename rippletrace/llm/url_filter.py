@@ -5,8 +5,9 @@ the longest that fits decides. Urls that no rule fits are scored: names in the h
 unigram Viterbi (words of the pages' own text are the lexicon), and a multinomial naive Bayes over the hashed words,
 taught by the urls that rules decide, gives the verdict.
 
-What reaches the driver is bounded whatever the input: the ``lexicon`` most frequent words and ``buckets`` counts for
-each class. Counts cover all pages.
+Every word of the pages counts at any size: the substrings of the distinct names are joined with all word counts, each
+name is split once with the words that it holds, and the splits are joined back to the urls. Only the counts' total
+and ``buckets`` counts for each class reach the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; it fits no rule, and its score is
 the prior's. Without decided urls everything is allowed. Repeated rows and null ids stay. No rows give none.
@@ -29,7 +30,8 @@ from .common import Memo, durable, map_arrow
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-SCHEMA = "page_id long, host string, path string, rule string, by_rule string, words array<string>"
+#: Letters of the longest word that counts.
+LONGEST = 24
 
 
 def host_of(url: Column) -> Column:
@@ -51,30 +53,22 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     return df.withColumn("rule", rule).withColumn("by_rule", verdict)
 
 
-def lexicon_counts(pages: DataFrame, lexicon: int) -> dict[str, int]:
-    """The most frequent words (2 to 24 letters) of the pages' texts without tags, at most ``lexicon`` of them.
-
-    A histogram of the counts (eighths of powers of two: a few hundred rows) gives the least count that keeps to the
-    bound, so only the words themselves reach the driver, however many tasks there are."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """w, n: the words (2 to LONGEST letters) of the pages' texts without tags."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, 24))
-    counts = durable(words.groupBy("w").agg(F.count("*").alias("n")).withColumn("step", F.floor(8 * F.log2("n")).cast("int")))
-    total, least = 0, None
-    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["step"]):
-        total += r["k"]
-        if total > lexicon:
-            break
-        least = r["step"]
-    return {} if least is None else {r["w"]: r["n"] for r in counts.where(F.col("step") >= least).select("w", "n").collect()}
+    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
+    return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """Splits a name into its most likely words; a piece outside the lexicon costs ten times more for each letter."""
+    """Splits a name into its most likely words; a piece outside the lexicon costs ten times more for each letter.
+
+    ``counts`` may hold only the words that a name can have; ``total`` and ``longest`` are then those of the whole lexicon."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -log(n / total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
+        self.longest = max(map(len, counts), default=1) if longest is None else longest
         self.unknown = log(total)
 
     def split(self, name: str) -> tuple[str, ...]:
@@ -97,29 +91,51 @@ class Segmenter:
         return tuple(reversed(out))
 
 
-def _tokens(segmenter: Segmenter):
-    memo = Memo(segmenter.split, 50_000)
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of host and path, numbered; numbers stay whole, as zeros."""
+    for b in batches:
+        rows = []
+        for host, path in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
+            found = [(side, name) for side, text in (("h", host), ("p", path.lower())) for name in re.findall(r"[a-z]+|[0-9]+", text)]
+            rows += [(host, path, k, side, name if name.isalpha() else "0" * len(name)) for k, (side, name) in enumerate(found)]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "path", "at", "side", "name"])
 
-    def tokens(host: str, path: str) -> list[str]:
-        out = []
-        for side, text in (("h", host), ("p", path.lower())):
-            for name in re.findall(r"[a-z]+|[0-9]+", text):
-                out += [f"{side}:{w}" for w in memo[name]] if name.isalpha() else [f"{side}:{'0' * len(name)}"]
-        return out
 
-    return tokens
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every substring of a name that may be a word, once for each name."""
+    for b in batches:
+        for name in b.column("name").to_pylist():
+            found = sorted({name[k : k + n] for n in range(2, LONGEST + 1) for k in range(len(name) - n + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "w"])
 
 
-def _segment(broadcast):
+def _split(total: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(Segmenter(broadcast.value))
         for b in batches:
-            words = [tokens(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.list_(pa.string()))], [*b.schema.names, "words"])
+            names = b.column("name").to_pylist()
+            words = [Segmenter({x["w"]: x["n"] for x in held}, total, longest).split(name) for name, held in zip(names, b.column("held").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
     return run
 
 
+def url_words(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, path, words of the distinct urls that have names."""
+    counts = durable(word_counts(pages))
+    size = counts.agg(F.sum("n").alias("total"), F.max(F.length("w")).alias("longest")).first()
+    of_url = durable(map_arrow(urls.select("host", "path").distinct(), _names, "host string, path string, at long, side string, name string"))
+    names = durable(of_url.where("name rlike '^[a-z]'").select("name").distinct())
+    hits = map_arrow(names, _pieces, "name string, w string").join(counts, "w").select("name", F.struct("w", "n").alias("x"))
+    held = hits.unionByName(names.select("name", F.lit(None).cast(hits.schema["x"].dataType).alias("x"))).groupBy("name").agg(F.collect_list("x").alias("held"))
+    splits = durable(map_arrow(held, _split(size["total"] or 0, size["longest"] or 1), "name string, words array<string>"))
+    both = of_url.join(splits.withColumnRenamed("name", "s"), F.col("name") == F.col("s"), "left")
+    words = F.transform(F.coalesce("words", F.array("name")), lambda w: F.concat("side", F.lit(":"), w))
+    rows = both.select("host", "path", F.struct("at", words.alias("words")).alias("x")).groupBy("host", "path").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return durable(rows.select("host", "path", F.flatten("x.words").alias("words")))
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)).cast("int")
 
@@ -139,30 +155,27 @@ def learn(segmented: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
     return odds, log((docs[1] + 1) / (docs.get(0, 0) + 1))
 
 
-def _verdict(counts, model, buckets: int):
-    names = ["page_id", "host", "path", "rule"]
-
+def _verdict(model, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, (odds, prior) = _tokens(Segmenter(counts.value)), model.value
+        odds, prior = model.value
         memo = Memo(lambda w: float(odds[zlib.crc32(w.encode()) % buckets]), 50_000)
         for b in batches:
-            words = [tokens(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            score = 1 / (1 + np.exp(-np.clip([prior + sum(map(memo.__getitem__, ws)) for ws in words], -50, 50)))
+            score = 1 / (1 + np.exp(-np.clip([prior + sum(map(memo.__getitem__, ws)) for ws in b.column("words").to_pylist()], -50, 50)))
             verdict = [r or ("block" if s > 0.5 else "allow") for r, s in zip(b.column("by_rule").to_pylist(), score)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in names), pa.array(words, pa.list_(pa.string())), pa.array(score, pa.float64()), pa.array(verdict, pa.string())], [*names, "words", "block_score", "verdict"]
-            )
+            names = ["page_id", "host", "path", "rule", "words"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(score, pa.float64()), pa.array(verdict, pa.string())], [*names, "block_score", "verdict"])
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, lexicon: int = 50_000, buckets: int = 1 << 16) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, buckets: int = 1 << 16) -> DataFrame:
     """page_id, host, path, rule, words (segments), block_score, verdict."""
-    sc = pages.sparkSession.sparkContext
     ruled = with_rules(pages, rules)
-    counts = sc.broadcast(lexicon_counts(pages, lexicon))
-    model = sc.broadcast(learn(map_arrow(ruled.where("by_rule is not null"), _segment(counts), SCHEMA), buckets))
-    return map_arrow(ruled, _verdict(counts, model, buckets), "page_id long, host string, path string, rule string, words array<string>, block_score double, verdict string")
+    words = url_words(ruled, pages).select(F.col("host").alias("u_host"), F.col("path").alias("u_path"), "words")
+    both = ruled.join(words, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left")
+    segmented = durable(both.select(*ruled.columns, F.coalesce("words", F.array().cast("array<string>")).alias("words")))
+    model = pages.sparkSession.sparkContext.broadcast(learn(segmented, buckets))
+    return map_arrow(segmented, _verdict(model, buckets), "page_id long, host string, path string, rule string, words array<string>, block_score double, verdict string")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,6 +320,23 @@ def test_segmentation():
     assert s.split("cheappills") == ("cheap", "pills") and s.split("spamfarm") == ("spam", "farm") and "".join(s.split("zzcheapq")) == "zzcheapq" and s.split("") == ()
 
 
+def test_every_word_counts_at_any_size(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("bcdfghjklm") for _ in range(n))
+    rare = sorted({letters(9) for _ in range(60_000)})
+    texts = [*(" ".join(rare[k : k + 2_000]) for k in range(0, len(rare), 2_000)), "spam farm " * 50]
+    urls = [f"http://{rare[k]}{rare[-k]}.net/{rare[2 * k]}spam/12" for k in range(1, 30)]
+    pages = [(k, urls[k % len(urls)], t) for k, t in enumerate(texts)] + [(1_000, "http://spamfarm.net/", None), (1_001, "http://spamfarm.net/", None)]
+    counts = {w: 1 for w in rare} | {"spam": 50, "farm": 50}
+    s = url_filter.Segmenter(counts)
+    out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted(r.page_id for r in out) == [p for p, _, _ in pages]
+    for r in out:
+        want = [f"{side}:{w}" for side, t in (("h", r.host), ("p", r.path)) for name in re.findall("[a-z]+|[0-9]+", t) for w in (s.split(name) if name.isalpha() else ("0" * len(name),))]
+        assert r.words == want
+    assert sum(f"h:{rare[k]}" in r.words for r in out for k in range(1, 30)) >= 29
+
+
 # --- 3 and 10 --------------------------------------------------------------------------------------------------
 
 
