@@ -1,12 +1,16 @@
 """Quality rules with cross-document line frequency (DataFrame operations only, no Python on executors).
 
 Base rules count words, symbols, repeated lines and repeated five-word windows inside each row with array
-functions: no shuffle. Then the distinct normalised lines of each text are hashed; for every host the number of
-distinct texts that hold a line is counted (exact copies of a text are one document here); lines above the limits are
-removed, and a document that loses too much is rejected.
+functions: no shuffle. Then each row's distinct normalised lines are hashed; for every host the number of distinct
+documents that hold a line is counted; lines above the limits are removed, and a document that loses too much is
+rejected.
 
-Defined results: null text counts as empty (no words, base_failed). Null hosts form one group. A null doc_id stays.
-Rows that are repeated whole give repeated results and count once. A table without rows gives none.
+A document is a doc_id of a host. Rows whose id no other row has are counted where they are, so that a line in a third
+of all documents is one partial sum a task; only rows with an id that comes again are grouped by id before.
+
+Defined results: null text counts as empty (no words, base_failed). Null hosts form one group. A row without a doc_id
+is a document of its own, and stays. Rows that share an id give a result each and count as one document. A table
+without rows gives none.
 """
 
 from __future__ import annotations
@@ -28,12 +32,9 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, f"{WS_CLASS}+", " "), "^ | $", ""))
-
-
-def _word_count(text: Column) -> Column:
-    bare = F.regexp_replace(text, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"{WS_CLASS}+")))
+    """White space runs become one space, none at the ends; lower case."""
+    spaces = F.trim(F.translate(line, "\t\n\x0b\x0c\r", "     "))
+    return F.lower(F.when(spaces.contains("  "), F.regexp_replace(spaces, " {2,}", " ")).otherwise(spaces))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WS_CLASS.replace("[", "[^")))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
     df = df.select(
         "doc_id", "host", "text",
         F.xxhash64("text").alias("text_hash"),
@@ -69,21 +70,37 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each text and distinct normalised line: key of the document, hash of the line, words of all its occurrences."""
+    """A row for each line with a word: key of the document's row, place and hash of the normalised line, its words."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(F.split(text, "\n")).alias("line"))
-    df = df.select("doc_id", "host", "text_hash", normalised(F.col("line")).alias("line")).where("line != ''")
-    return df.select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).alias("words"))
+    df = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    df = df.select("doc_id", "host", "text_hash", "place", normalised(F.col("line")).alias("line")).where("line != ''")
+    return df.select("doc_id", "host", "text_hash", "place", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).alias("words"))
+
+
+def _documents(docs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """doc_id, host, lines (hashes of a row's distinct normalised lines), again (whether other rows have the same id)."""
+    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalised), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    rows = docs.select("doc_id", F.col("source").alias("host"), lines.alias("lines"))
+    ids = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")))
+    n = ids.count()
+    if not n:
+        return rows.withColumn("again", F.lit(False))
+    marked = rows.join(F.broadcast(ids) if n <= broadcast_rows else ids, F.col("doc_id") == F.col("twice"), "left")
+    return marked.select("doc_id", "host", "lines", F.col("twice").isNotNull().alias("again"))
+
+
+def frequent_lines(docs: DataFrame, min_docs: int, min_share: float, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """host, line_hash, n_docs of the lines that more than ``min_docs`` and more than ``min_share`` of a host's documents hold."""
+    rows = _documents(docs, broadcast_rows)
 
+    def counted(key: list[str], held: DataFrame) -> DataFrame:
+        alone = held.where("not again").select(*key)
+        shared = held.where("again").select(*key, "doc_id").distinct().select(*key)
+        return alone.unionByName(shared).groupBy(*key).agg(F.count("*").alias("n_docs"))
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """host, line_hash of lines that more than ``min_docs`` distinct texts and more than ``min_share`` of a host's distinct texts hold."""
-    held = _lines(docs).groupBy("host", "line_hash", "text_hash").agg(F.lit(1).alias("one"))  # partial sums before the shuffle: a hot line is one row a task
-    counts = held.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    texts = docs.select(F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    hosts = texts.distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    same = counts["host"].eqNullSafe(hosts["host"])
-    return counts.join(hosts, same).where(F.col("n_docs") > min_share * F.col("host_docs")).select(counts["host"], "line_hash", "n_docs")
+    counts = counted(["host", "line_hash"], rows.select("doc_id", "host", "again", F.explode("lines").alias("line_hash"))).where(F.col("n_docs") > min_docs)
+    hosts = counted(["host"], rows).withColumnRenamed("n_docs", "host_docs")
+    return counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") > min_share * F.col("host_docs")).select(counts["host"], "line_hash", "n_docs")
 
 
 def line_frequency_rules(
@@ -95,18 +112,17 @@ def line_frequency_rules(
     The frequent lines are broadcast only if there are at most ``broadcast_rows`` of them (their count is taken
     first); beyond that Spark joins by shuffle, where adaptive execution splits skewed lines.
     """
-    limits = durable(frequent_lines(docs, min_docs, min_share))
+    limits = durable(frequent_lines(docs, min_docs, min_share, broadcast_rows))
     small = limits.count() <= broadcast_rows
     f = (F.broadcast(limits) if small else limits).select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_line"))
     hits = _lines(docs).join(f, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line_hash") == F.col("f_line")))
     key = ["doc_id", "host", "text_hash"]
-    # A line that comes again in a text, or in a repeated row, is summed once for each row of the text.
-    lost = hits.groupBy(*key, "line_hash").agg(F.sum("words").alias("words")).groupBy(*key).agg(F.sum("words").alias("lost"), F.collect_list("line_hash").alias("removed_lines"))
+    # A place of a repeated row counts once; what is grouped by row is at most its lines.
+    places = hits.groupBy(*key, "place").agg(F.first("line_hash").alias("line_hash"), F.first("words").alias("words"))
+    lost = places.groupBy(*key).agg(F.sum("words").alias("lost"), F.collect_set("line_hash").alias("removed_lines"))
     base = base_rules(docs)
-    rows = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).groupBy(*key).agg(F.count("*").alias("times"))
-    lost = lost.join(rows, _same(lost, rows, key)).select(*[lost[k] for k in key], "lost", "removed_lines", "times")
     both = base.join(lost, _same(base, lost, key), "left")
-    removed = F.coalesce((F.col("lost") / F.col("times")).cast("long"), F.lit(0))
+    removed = F.coalesce("lost", F.lit(0))
     left = F.col("n_words") - F.col("removed_words")
     keep_line = lambda x: ~F.array_contains("removed_lines", F.xxhash64(normalised(x)))
     clean = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep_line), "\n"))
@@ -129,7 +145,8 @@ def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+d AS (SELECT *, CASE WHEN doc_id IS NULL THEN 'row ' || r ELSE 'id ' || doc_id END AS doc FROM n),
 w AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 u AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 win AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g
@@ -140,9 +157,9 @@ raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 worded AS (SELECT * FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY r),
 nl AS (SELECT r, lower(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g')) AS line FROM worded),
-held AS (SELECT d.host, d.text, nl.line FROM nl JOIN d USING (r)),
-lc AS (SELECT host, line, count(DISTINCT text) AS n FROM held GROUP BY host, line),
-hc AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
+held AS (SELECT d.host, d.doc, nl.line FROM nl JOIN d USING (r)),
+lc AS (SELECT host, line, count(DISTINCT doc) AS n FROM held GROUP BY host, line),
+hc AS (SELECT host, count(DISTINCT doc) AS n FROM d GROUP BY host),
 f AS (SELECT lc.host, lc.line FROM lc JOIN hc ON lc.host IS NOT DISTINCT FROM hc.host WHERE lc.n > 20 AND lc.n > 0.02 * hc.n),
 lost AS (SELECT d.r, sum(len(string_split(nl.line, ' '))) AS n FROM nl JOIN d USING (r) JOIN f ON f.line = nl.line AND f.host IS NOT DISTINCT FROM d.host GROUP BY d.r),
 b AS (SELECT d.r, d.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0)::BIGINT AS word_chars,

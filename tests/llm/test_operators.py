@@ -424,6 +424,18 @@ def test_quality_rules(spark, rows, con):
     same(shuffled.select(*quality_rules.COLUMNS), con, quality_rules.OP4_SQL)
 
 
+def test_line_frequency_counts_documents(spark):
+    """Copies of one text are documents each; rows that share an id are one document; rows without an id are one each."""
+    boiler = "Subscribe to our newsletter today"
+    text = lambda i: f"some words that only stand in text {i} and nowhere else\n{boiler}"
+    kept = lambda rows: {r.doc_id: (r.removed_words, r.kept) for r in quality_rules.line_frequency_rules(table(spark, rows)).collect()}
+    own = [(1_000 + i, f"a quiet line of more than ten words for document number {i}") for i in range(10)]
+    copies = kept([(i, text(0)) for i in range(30)] + own)
+    assert {copies[i] for i in range(30)} == {(16, False)} and all(copies[i] == (0, True) for i, _ in own)
+    assert {v for i, v in kept([(7, text(i)) for i in range(30)] + own).items()} == {(0, True)}
+    assert kept([(None, text(i)) for i in range(30)] + own)[None] == (5, True)
+
+
 TURNS = [
     (1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "bye"), (4, 0, "user", "hi"), (4, 1, "bot", "yo"),
     (4, 2, "user", "bye"), (5, 0, "user", "hi"), (5, 1, "bot", "no"), (6, 5, "user", None), (6, 5, None, "x"), (6, 5, None, "x"), (7, None, "user", "<|im_end|> trick"), (8, 1, "bot", "yo"),
