@@ -380,17 +380,29 @@ def test_language(spark):
     rng = random.Random(2)
     sounds = {"xx": ["ba", "lo", "mi"], "yy": ["krz", "sto", "ęcz"], "zz": ["öö", "ää", "ttu"]}
     rows = [(i, " ".join("".join(rng.choice(sounds[l]) for _ in range(3)) for _ in range(rng.randint(3, 40))), l, "s", 1, "x", 1, "f", "c") for i, l in enumerate(rng.choice(sorted(sounds)) for _ in range(300))]
-    odd = [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (1003, "öö ää", None), (None, "krzsto krz", "yy")]
+    odd = [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (1003, "öö ää", None), (None, "krzsto krz", "yy"), (1004, "½ ²", "xx"), (1005, "① _ ٣", None), (1006, "\u4e2d" * 40, None), (1007, "balomi " * 100_000, None)]
+    odd += [rows[0][:3], rows[0][:3]]
     df = spark.createDataFrame(rows + [(i, t, l, "s", 1, "x", 1, "f", "c") for i, t, l in odd], DOCS)
     got = {r.doc_id: r for r in language_id.identify(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()}
     assert all(got[r[0]].held_out == (held(r[0], 3) == 1) for r in rows)
     right = [got[r[0]].lang_pred == r[2] for r in rows if held(r[0], 3) == 1]
     assert sum(right) / len(right) > 0.97
-    assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003, None)] == ["und", "und", "und", "zz", "yy"] and got[1000].score == 0
+    assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003, None, 1004, 1005, 1007)] == ["und", "und", "und", "zz", "yy", "und", "und", "xx"] and got[1000].score == got[1005].score == 0
+    assert got[1006].rejected and got[1006].decision == "und" and got[1006].lang_pred in sounds and not got[rows[0][0]].rejected and got[rows[0][0]].decision == rows[0][2]
     unlearnt = language_id.identify(df.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()
     assert {r.lang_pred for r in unlearnt} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than any fixed number: each is predicted, the rarest with one labelled row."""
+    rng = random.Random(21)
+    own = {f"l{k}": [chr(0x3400 + 7 * k + j) for j in range(7)] for k in range(260)}
+    text = lambda l: " ".join("".join(rng.choice(own[l]) for _ in range(3)) for _ in range(12))
+    rows = [(k, text(l), l) for k, l in enumerate([*own, *own, "l0", "l0"])]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") >= 260).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {k: l for k, _, l in rows}
+
+
 # --- 4 and 7 ---------------------------------------------------------------------------------------------------
 
 
