@@ -1,14 +1,18 @@
 """Harmonic packing of tokenised documents into sequences of a fixed length.
 
-Lengths fall into reciprocal-capacity classes: class k takes pieces of capacity / k tokens, and a bin of class k holds
-exactly k of them. As a document may be cut anywhere, each is cut into whole sequences and then into pieces of
-capacity / 2, / 4, ..., so every filled bin is full to the last token. Each worker fills the bins of its own rows and
-shares nothing, so there is no shuffle. What is left in a worker's open bins at its end (less than one bin a class)
-is laid out by falling size, which for powers of two fills sequences without a gap; the last tokens form sequences
-whose length is a power of two.
+A document gives whole sequences while it has ``capacity`` tokens or more. What is left of it falls, by its length, into
+a reciprocal-capacity class: class k has the lengths in (capacity / (k + 1), capacity / k], and a bin of class k takes
+exactly k of them, whatever they are. A bin that has its k is short of less than capacity / (k + 1) tokens; the next
+document closes that gap with its first tokens (whole, if it is shorter than the gap). So every sequence is full, at
+most one bin waits for a gap at any time, and a document is cut at most once besides its whole sequences. Each worker
+fills the bins of its own rows and shares nothing, so there is no shuffle. What is left in a worker's open bins at its
+end is laid out by falling class into full sequences; the last tokens form sequences whose lengths are powers of two.
 
-Memory: one batch of rows and the open bins (under ``capacity`` small pieces a class). A lost task gives the same
-sequences again, as they depend on its rows alone.
+Memory: one batch of rows and the open bins. floor(capacity / length) has under 2 sqrt(capacity) values, so these are
+under 128 bins of 4096 tokens. A lost task gives the same sequences again, as they depend on its rows alone.
+
+``harmonic_class`` is k for what was put into a bin of class k, and 0 for what closes a gap or is laid out at a
+worker's end.
 
 Defined results: null or empty text is the end token alone. Repeated rows are packed each for itself. A null doc_id
 stays. A table without rows gives none.
@@ -29,7 +33,7 @@ from .common import Memo, byte_rows, documents, map_arrow, shared_memo
 
 CAPACITY = 4096
 END = (2).to_bytes(4, "little")
-NUMBERS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+NUMBERS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "harmonic_class")
 
 
 #: Words of these characters are unchanged by the tokenizer's normalizer but for their case, which is one to one here.
@@ -74,58 +78,78 @@ def word_ids(tokenizer_file: str):
     return ids
 
 
-def cuts(n: int, capacity: int) -> list[int]:
-    """Whole sequences, then falling powers of two (parts of the capacity)."""
-    sizes = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity >> 1
-    while rest:
-        if rest >= size:
-            sizes.append(size)
-            rest -= size
-        size >>= 1
-    return sizes
-
-
 class HarmonicBins:
-    """Open bins by class; ``put`` returns the pieces of the bin that it fills, with sequence and offset."""
+    """Open bins by class. ``document`` and ``rest`` return the rows (NUMBERS, ids) of the sequences that they finish."""
 
     def __init__(self, capacity: int, first_sequence: int):
-        self.capacity, self.next, self.open = capacity, first_sequence, {}
-
-    def put(self, size: int, piece: list) -> list[list]:
-        bin_ = self.open.setdefault(size, [])
-        bin_.append(piece)
-        return self._close(self.open.pop(size)) if len(bin_) == self.capacity // size else []
-
-    def _close(self, pieces: list[list]) -> list[list]:
-        at = 0
-        for p in pieces:
-            p += [self.next, at]
-            at += p[2]
+        self.capacity, self.next = capacity, first_sequence
+        self.open: dict[int, list[tuple]] = {}
+        self.waiting: list[tuple] = []
+        self.gap = 0
+
+    def document(self, doc: int | None, ids: bytes) -> list[tuple]:
+        total, start, out = len(ids) // 4, 0, []
+        while total - start >= self.capacity:
+            out += self._close([self._piece(doc, ids, start, self.capacity, 1)])
+            start += self.capacity
+        if self.gap and start < total:
+            size = min(self.gap, total - start)
+            self.waiting.append(self._piece(doc, ids, start, size, 0))
+            self.gap -= size
+            start += size
+            if not self.gap:
+                out += self._close(self.waiting)
+                self.waiting = []
+        if start < total:
+            k = self.capacity // (total - start)
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(self._piece(doc, ids, start, total - start, k))
+            if len(bin_) == k:
+                del self.open[k]
+                self.gap = self.capacity - sum(len(p[3]) for p in bin_) // 4
+                if self.gap:
+                    self.waiting = bin_
+                else:
+                    out += self._close(bin_)
+        return out
+
+    def rest(self) -> list[tuple]:
+        pieces = self.waiting + [p for k in sorted(self.open) for p in self.open[k]]
+        left = sum(len(p[3]) for p in pieces) // 4
+        self.open, self.waiting, self.gap, out, at = {}, [], 0, [], 0
+        while left:
+            want, own = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1), []
+            left -= want
+            while want:
+                doc, total, start, ids, _ = pieces[at]
+                own.append((doc, total, start, ids[: 4 * want], 0))
+                if len(ids) > 4 * want:
+                    pieces[at] = (doc, total, start + want, ids[4 * want :], 0)
+                else:
+                    at += 1
+                want -= len(own[-1][3]) // 4
+            out += self._close(own)
+        return out
+
+    @staticmethod
+    def _piece(doc: int | None, ids: bytes, start: int, size: int, k: int) -> tuple:
+        return doc, len(ids) // 4, start, ids[4 * start : 4 * (start + size)], k
+
+    def _close(self, pieces: list[tuple]) -> list[tuple]:
+        out, at = [], 0
+        for doc, total, start, ids, k in pieces:
+            out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, self.next, at, k, ids))
+            at += len(ids) // 4
         self.next += 1
-        return pieces
-
-    def rest(self) -> list[list]:
-        pieces = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        out, left = [], sum(p[2] for p in pieces)
-        while pieces:
-            want, k, n = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1), 0, 0
-            while n < want:
-                n += pieces[k][2]
-                k += 1
-            out += self._close(pieces[:k])
-            pieces, left = pieces[k:], left - n
-        self.open = {}
         return out
 
 
 def _packer(tokenizer_file: str, capacity: int, with_ids: bool):
     names = [*NUMBERS, *["ids"] * with_ids]
 
-    def batch(rows: list[list]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * 8
-        columns = [pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 3, 4, 6, 7)] + [pa.array(cols[5], pa.binary())] * with_ids
-        return pa.RecordBatch.from_arrays(columns, names)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * (len(NUMBERS) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:-1]] + [pa.array(cols[-1], pa.binary())] * with_ids, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = shared_memo(f"ids {tokenizer_file}", lambda: word_ids(tokenizer_file)).__getitem__
@@ -135,11 +159,7 @@ def _packer(tokenizer_file: str, capacity: int, with_ids: bool):
             rows, held = [], 0
             for k, doc in enumerate(b.column("doc_id").to_pylist()):
                 ids = b"".join(map(ids_of, raw[at[k] : at[k + 1]].split())) + END
-                total, start = len(ids) // 4, 0
-                for size in cuts(total, capacity):
-                    part = ids[4 * start : 4 * (start + size)]
-                    rows += bins.put(size, [doc, start, size, zlib.crc32(part), total, part if with_ids else None])
-                    start += size
+                rows += bins.document(doc, ids)
                 held += len(ids)
                 if held > 8_000_000:
                     yield batch(rows)

@@ -177,10 +177,39 @@ def test_packing_round_trip(spark, docs, rows):
         assert ends[-1] & (ends[-1] - 1) == 0  # no padding: whole sequences or powers of two
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 4095, 4096, 4097, 100_000])
-def test_cuts(n):
-    sizes = packing.cuts(n, 4096)
-    assert sum(sizes) == n and all(4096 % s == 0 for s in sizes)
+@pytest.mark.parametrize("capacity", [1, 2, 64, 4096])
+def test_harmonic_classes(capacity):
+    """Bins hold k pieces of (capacity / (k + 1), capacity / k] and at most fillers of their gap; a document is cut once at most besides whole sequences."""
+    rng = random.Random(capacity)
+    bins, sizes, rows = packing.HarmonicBins(capacity, 5), {}, []
+    for doc in range(3_000):
+        sizes[doc] = n = rng.choice([1, 2, rng.randint(1, 3 * capacity), rng.randint(1, max(1, capacity // 7)), capacity])
+        rows += bins.document(doc, np.arange(n, dtype="<u4").tobytes())
+        assert sum(len(x) for x in bins.open.values()) <= 2 * capacity**1.5 and len({x[5] for x in rows[-1:]}) <= 1
+    closed = {x[5] for x in rows}
+    rows += bins.rest()
+    by_seq, by_doc = {}, {}
+    for r in rows:
+        by_seq.setdefault(r[5], []).append(r)
+        by_doc.setdefault(r[0], []).append(r)
+    assert sorted(by_seq) == list(range(5, 5 + len(by_seq)))
+    for seq, parts in by_seq.items():
+        assert [p[6] for p in parts] == [0, *np.cumsum([p[2] for p in parts])[:-1]]
+        total = sum(p[2] for p in parts)
+        if seq in closed:
+            (k,) = {p[7] for p in parts} - {0}
+            own = [p[2] for p in parts if p[7]]
+            assert total == capacity and len(own) == k and all(capacity < (k + 1) * n <= capacity * (k + 1) / k for n in own)
+            assert all(p[1] == 0 or p[1] + p[2] <= sizes[p[0]] for p in parts)
+        else:
+            assert total & (total - 1) == 0 and {p[7] for p in parts} == {0}
+    for doc, parts in by_doc.items():
+        parts.sort(key=lambda p: p[1])
+        assert [p[1] for p in parts] == [0, *np.cumsum([p[2] for p in parts])[:-1]] and sum(p[2] for p in parts) == sizes[doc]
+        assert b"".join(p[8] for p in parts) == np.arange(sizes[doc], dtype="<u4").tobytes()
+        if all(p[5] in closed for p in parts):
+            assert len(parts) <= sizes[doc] // capacity + 2
+    assert max(seq for seq in by_seq) - max(closed, default=4) <= 2 * capacity**0.5 + 15
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------
