@@ -5,9 +5,15 @@ best score and how many pieces it takes, and never the pieces. Ties follow the t
 for an end, candidates come by rising start and only a strictly better score replaces one; a character that no
 one-character piece covers costs the least score less 10 and counts as its UTF-8 bytes (byte fallback).
 
-The tokenizer counted here is: split at white space (space, U+0009 to U+000D), put the word mark before each word,
-best path over the pieces of the vocabulary file with their scores. Words are independent of each other, so a worker
-counts a word once and keeps a bounded table of counts.
+What is counted: a unigram tokenizer. Text is split at white space (space, U+0009 to U+000D), the word mark is put
+before each word, and a word's tokens are its most likely pieces. Pieces and scores come from a sentencepiece file;
+its control, unknown and byte pieces are no text and stay out. A unigram file has log-probabilities, which are taken as
+they are. A BPE file (the installed one) has minus the merge rank instead, which is no likelihood; there the ranks
+are made one by the Zipf-Mandelbrot law, p(rank) ~ 1 / (rank + 2.7), as merges come by falling frequency. Nothing is
+trained: counts depend on the file alone. They are near, but not equal to, those of the file's own merges.
+
+Words are independent of each other, so a worker counts a word once and keeps a bounded table of counts. A word costs
+time in proportion to its length times the longest piece, and memory in proportion to its length.
 
 Defined results: null or empty text has 0 tokens and score 0. Repeated rows and null ids stay. No rows give none.
 """
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +35,18 @@ UNKNOWN_PENALTY = 10.0
 SCHEMA = "doc_id long, n_tokens long, score double"
 
 
-def vocabulary(model_file: str) -> list[tuple[str, float]]:
+def vocabulary(model_file: str, offset: float = 2.7) -> list[tuple[str, float]]:
+    """The text pieces of a sentencepiece file with their log-probabilities; ranks become some by Zipf-Mandelbrot."""
     import public_tokenizers
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model_file))
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model_file))
+    text = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    pieces = [(m.id_to_piece(i), m.get_score(i)) for i in text]
+    if not all(s == int(s) for _, s in pieces):
+        return pieces
+    total = log(sum(1 / (offset - s) for _, s in pieces))
+    return [(p, -log(offset - s) - total) for p, s in pieces]
 
 
 def counter(pieces: list[tuple[str, float]]):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rippletrace.llm import chat_snapshots, decontaminate, jaccard_join, language_id, packing, quality_rules, repeats, token_counts, toxicity, url_filter
 from rippletrace.llm.common import Memo
 from tests.compare import same
+from tests.conftest import SMALL
 from tests.llm.test_repeats_local import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kind string, key long, fp string, chunk string"
@@ -215,13 +216,37 @@ def test_harmonic_classes(capacity):
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
-def test_token_counts(docs, rows):
+def unigram_library(pieces):
+    """The tokenizers library's unigram model with the same pieces; its byte pieces can't be reached as text."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    t = Tokenizer(models.Unigram(token_counts.vocabulary("piece_bpe_32k.model"), unk_id=0, byte_fallback=True))
+    held = {"<unk>": -1e6} | {f"<0x{b:02X}>": -1e6 for b in range(256)} | dict(pieces)
+    t = Tokenizer(models.Unigram(list(held.items()), unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"[\x20\x09-\x0D]+"), "removed"), pre_tokenizers.Metaspace(prepend_scheme="always", split=False)])
-    want = sorted(((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows), key=repr)
-    assert sorted(((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs).collect()), key=repr) == want
+    return lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+
+
+def test_token_counts(spark, docs, rows):
+    count = unigram_library(token_counts.vocabulary("piece_bpe_32k.model"))
+    odd = [(20_000, "<s> </s> <unk> <0x41> <0x0A>x"), (20_001, "internationalization " * 20_000), (20_002, "y" * 200_000), (20_003, "\u2581\u2581 \u2581a")]
+    own = docs.unionByName(table(spark, odd))
+    want = sorted(((i, count(x)) for i, x in [*rows, *odd] if i != 20_003), key=repr)
+    got = {r.doc_id: r for r in token_counts.token_counts(own).where("doc_id >= 20000").collect()}
+    assert sorted(((r.doc_id, r.n_tokens) for r in token_counts.token_counts(own).where("doc_id is null or doc_id != 20003").collect()), key=repr) == want
+    assert got[20_001].n_tokens <= 3 * 20_000 and got[20_000].n_tokens > 12 and got[20_003].n_tokens > 0
+
+
+def test_token_counts_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    count = unigram_library(token_counts.vocabulary("piece_bpe_32k.model"))
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {r.doc_id: count(r.text) for r in docs.collect()}
+
+
+def test_scores_are_log_probabilities():
+    pieces = token_counts.vocabulary("piece_bpe_32k.model")
+    assert sum(np.exp(s) for _, s in pieces) == pytest.approx(1) and not {"<s>", "</s>", "<unk>", "<0x00>", "<0xFF>"} & {p for p, _ in pieces}
+    count = token_counts.counter(pieces)
+    assert count("\u2581internationalization")[0] == 2 and count("\u2581of")[0] == 1
 
 
 def test_count_ties():
