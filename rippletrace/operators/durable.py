@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once, in the folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """df, computed once, in the folder of ``spark.checkpoint.dir``. Only in local mode a folder of our own serves if none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint(eager=True)
