@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -19,10 +21,13 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only if none is set."""
+    """The folder of ``spark.checkpoint.dir``. Only in local mode, where all share one disk, a folder of our own serves if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return sc.getCheckpointDir()
 
 
@@ -53,6 +58,17 @@ def ship(spark: SparkSession) -> None:
 
 
 ROWS = 512
+_given = [0.0]
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes to the system, twice a second at most; idle workers then hold little beside those that work."""
+    now = time.monotonic()
+    if now - _given[0] > 0.5:
+        _given[0] = now
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -60,7 +76,8 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return f(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+        yield from f(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -88,11 +105,15 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+#: Young words of a worker's table; with the old ones it takes some 40 MB.
+WORDS = 100_000
+
+
 class Memo(dict):
     """word -> value, computed at the first look-up. At most ``most`` young and as many old entries are held: when the
     young ones are full they become the old ones, and a word that is met again becomes young again."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = WORDS):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -110,7 +131,7 @@ class Memo(dict):
 _memo: dict[str, Memo] = {}
 
 
-def shared_memo(name: str, make: Callable[[], Callable], most: int = 300_000) -> Memo:
+def shared_memo(name: str, make: Callable[[], Callable], most: int = WORDS) -> Memo:
     """The Memo of this worker process under that name; it outlives a task. One is kept at a time."""
     if name not in _memo:
         _memo.clear()

@@ -12,15 +12,16 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    entries and verifications, from the mean list length that step 1 measured.
 4. A list of up to ``short`` sets gives all pairs that sizes and positions allow. A longer list, as a group of
    thousands of near copies makes, gives first the pairs with its most central set, whose exact verification joins
-   nearly the whole group; then the pairs with another set of a different class; then all pairs of sets that are still
-   in different classes. Pairs inside a class need no look, as they can't change it, so a class is whole without
-   listing its pairs.
+   nearly the whole group; then, while it still holds sets of different classes, the pairs of such sets with one
+   centre of another class, and then with 8, 64, 512, ... more centres (by hash), until all of the list have been
+   centres. Pairs inside a class need no look, as they can't change it, so a class is whole without listing its pairs;
+   a centre has been compared with all of its list and leaves it.
 
 Equal sets are one entry (identity: size and a 64-bit sum of mixed shingle hashes); shingles are 64-bit hashes.
 
 Defined results: null or empty text, or white space only, is an empty set, in a class of its own. Repeated rows are
-equal sets. A null doc_id has a class like any other row, but names one only if the class has no other id. A table
-without rows gives none.
+equal sets. A null doc_id has a class like any other row, but names one only if the class has no other id. Rows that
+share a doc_id are documents each, and name the same class only if they are linked. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import NULL_ID, answer, ask, bucket_count, by_bucket, chunked, open_chunk, place, planes, told, unplanes
+from .chunks import NULL_ID, answer, ask, by_bucket, chunked, layout_of, open_chunk, place, planes, rows_with, told, unplanes
 from .common import documents, durable, map_arrow, mix, shared_memo
 from .components import components
 
@@ -144,7 +145,7 @@ def _subset_keys(tokens: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
 
 
 def _listing(size: int, light: int):
-    """Rows of kind 0: entry on an inverted list; 1: subset of a light set; 2: the shared shingles of a candidate; 3: document."""
+    """Rows of kind 0: entry on an inverted list; 1: subset of a light set; 2: the shared shingles of a candidate; 3: document (key: its chunk, pos: its place there)."""
 
     def use(chunk: int, blob: bytes, answers: list[tuple[int, bytes]]) -> pa.Table:
         sets, tokens, _ = _distinct_tokens(blob, size)
@@ -159,9 +160,9 @@ def _listing(size: int, light: int):
             blobs.extend([own] * k)
 
         seen = set()
-        for doc, fp, own in sets:
+        for at, (doc, fp, own) in enumerate(sets):
             n = len(own)
-            put(3, [0], fp, n, [0], doc)
+            put(3, [chunk], fp, n, [at], doc)
             if not n or fp in seen:
                 continue
             seen.add(fp)
@@ -223,10 +224,23 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(named, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("found", "fp")).drop("node", "found")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) for each row."""
-    chunks = chunked(docs)
-    buckets = bucket_count(chunks)
+class Classes:
+    """The durable chunks of the documents, a row for each document (doc_id, fp, n, key, pos), and the root of each set that isn't its own."""
+
+    def __init__(self, chunks: DataFrame, rows: DataFrame, roots: DataFrame):
+        self.chunks, self.rows, self.roots = chunks, rows, roots
+
+    def best(self) -> DataFrame:
+        """root, p: the document that names each class (doc_id, nulls last, then its set and place)."""
+        first = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("fp").alias("set"), "key", "pos", "doc_id")
+        of_set = self.rows.where("n > 0").groupBy("fp").agg(F.min(first).alias("p"))
+        self.named = durable(_rooted(of_set, self.roots))
+        return durable(self.named.groupBy("root").agg(F.min("p").alias("p")))
+
+
+def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = None, sizes: tuple[int, int] | None = None) -> Classes:
+    chunk_bytes, buckets = sizes or layout_of(docs)
+    chunks = chunked(docs, chunk_bytes, extra)
     answers = durable(answer(ask(chunks, _question(size, buckets)), _reply))
     light = boundary(_mean_list(answers))
     listed = durable(told(chunks, [answers], _listing(size, light), LISTED))
@@ -252,40 +266,52 @@ def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8) -> DataFr
     links = durable(links.unionByName(_verified(seen, sets)))
     roots = components(links)
 
-    long = lists.where(col("c") > short).drop("p_fp", "p_n", "p_pos")
-    for last in (False, True):
-        rows = _rooted(long, roots)
+    # A set's draw on a list, in [0, 1): below ``done`` / c it has been a centre there.
+    draw = F.pmod(F.xxhash64("key", "fp"), F.lit(1 << 40)) / float(1 << 40)
+    long, done, centres = lists.where(col("c") > short).drop("p_fp", "p_n", "p_pos").withColumn("draw", draw), 0, 0
+    while True:
+        rows = _rooted(long.where(col("draw") * col("c") >= done), roots)
         open_ = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(col("key").alias("k"), "r1")
-        rows = durable(rows.join(durable(open_).hint("merge"), col("key") == col("k")).drop("k"))
-        if rows.isEmpty():
+        long = durable(rows.join(durable(open_).hint("merge"), col("key") == col("k")).drop("k"))
+        if long.isEmpty():
             break
-        if last:
-            partner = rows.select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"), col("root").alias("o_root"))
-        else:  # one more centre for each list: of another class than the greatest
-            best = rows.where("root != r1").groupBy("key").agg(F.min(F.struct("pos", "n", "fp", "root")).alias("p"))
+        if centres:
+            partner = long.where(col("draw") * col("c") < done + centres)
+            partner = partner.select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"), col("root").alias("o_root"))
+            done += centres
+        else:  # of another class than the greatest
+            best = long.where("root != r1").groupBy("key").agg(F.min(F.struct("pos", "n", "fp", "root")).alias("p"))
             partner = durable(best).select(col("key").alias("k"), col("p.fp").alias("o_fp"), col("p.n").alias("o_n"), col("p.pos").alias("o_pos"), col("p.root").alias("o_root"))
-        order = col("root") < col("o_root") if last else col("root") != col("o_root")
-        more = rows.join(partner.hint("merge"), (col("key") == col("k")) & order).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
+        centres = 8 * max(1, centres)
+        more = long.join(partner.hint("merge"), (col("key") == col("k")) & (col("root") != col("o_root"))).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
         more = durable(_pairs(more, "o_fp").join(seen, ["a", "b"], "left_anti"))
         seen = seen.unionByName(more)
         found = durable(_verified(more, sets))
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links)
+        long = long.drop("root", "r1")
+    return Classes(chunks, listed.where("kind = 3").select("doc_id", "fp", "n", "key", "pos"), roots)
+
 
-    rows = listed.where("kind = 3").select("doc_id", "fp", "n")
-    named = _rooted(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")), roots)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = named.join(least, "root").select(col("fp").alias("s"), "component_id")
-    out = rows.join(of_set, (col("fp") == col("s")) & (col("n") > 0), "left")
+def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) for each row. ``sizes``: bytes of a chunk and number of buckets, else by ``layout``."""
+    c = _classes(docs, size, short, None, sizes)
+    col = F.col
+    least = c.best().select(col("root").alias("r"), col("p.doc_id").alias("component_id"))
+    of_set = c.named.join(least.hint("merge"), col("root") == col("r")).select(col("fp").alias("s"), "component_id")
+    out = c.rows.join(durable(of_set).hint("merge"), (col("fp") == col("s")) & (col("n") > 0), "left")
     return out.select("doc_id", col("n").cast("long").alias("n_shingles"), F.when(col("n") > 0, col("component_id")).otherwise(col("doc_id")).alias("component_id"))
 
 
-def one_of_each_class(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows whose doc_id names their class, one for each id; rows without an id can't be named and stay."""
-    named = jaccard_components(docs, size).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+def one_of_each_class(docs: DataFrame, size: int = 5, short: int = 8) -> DataFrame:
+    """One row of each class, whole and with all its columns: that of the least doc_id (null ids come last), of rows that
+    share it the one with the least set hash, of equal ones the first of the table. Rows without words, being linked with
+    nothing, all stay. Works on rows, so rows that share an id but not their words don't stand for each other."""
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    c = _classes(docs, size, short, extra)
+    kept = c.best().select(F.col("p.key").alias("chunk"), F.col("p.pos").alias("place")).unionByName(c.rows.where("n = 0").select(F.col("key").alias("chunk"), F.col("pos").alias("place")))
+    return rows_with(c.chunks, kept, docs.select("doc_id", "text", *extra).schema).select(*docs.columns)
 
 
 def _mean_list(answers: DataFrame) -> float:

@@ -3,28 +3,34 @@
 A byte goes when a string of ``LENGTH`` bytes that covers it also starts earlier: in a smaller doc_id, or in the same
 document before. Strings are those of the input; they may overlap; matches never cross documents.
 
-Parsing. The trigger of a start p is the place of the least rolling hash (leftmost among equals) among the windows of
-``WINDOW`` bytes that begin in the ``SPAN`` bytes from p on. It lies inside the string at p and depends on that string
-alone, so equal strings have the same trigger at the same distance. Successive starts with one trigger form a phrase;
-its text is all that their strings cover. The texts are the dictionary, the sequence of phrases is the parse.
-
-1. Chunks of documents ask buckets of trigger contexts for each distinct phrase. A phrase that also occurs earlier goes
-   with all its starts: highly repetitive text ends here, at a few bytes a phrase. A first occurrence whose trigger
-   context no other phrase has is unique: it stays.
-2. First occurrences that share a trigger context meet in a bucket with their text. There the suffix array of the
-   dictionary (phrases up to the trigger, ordered from the trigger backwards, with common suffix lengths) and that of
-   the parse (what follows a trigger, with common prefix lengths) are combined: two starts at distance a before their
-   triggers have the same string if the phrases share a suffix of a bytes and the contexts a prefix of LENGTH - a. In
-   each class the first in corpus order stays.
-3. A trigger context with more than ``CROWD`` different phrases in one chunk (the edge of a passage that a great many
-   documents share) would gather without bound; its starts are asked one by one, by the hash of their string, of
-   buckets that these hashes spread over.
+Parsing. A rolling hash runs over all windows of ``WINDOW`` bytes. The trigger of a start p is the window with the least
+hash (the first among equals) of those that begin in the ``SPAN`` bytes from p on. It lies inside the string at p and
+depends on that string alone, so equal strings have the same trigger at the same distance. (A trigger by the hash's
+remainder would leave phrases of any length in even text; the least hash bounds them by SPAN.) Successive starts with
+one trigger form a phrase, which ends in its trigger; the phrases are the dictionary, their sequence is the parse.
+
+1. Dictionary. Chunks of documents ask buckets of trigger contexts for each distinct phrase with what its strings cover of
+   the parse behind it. One that occurs earlier goes with all its starts: highly repetitive text ends here, at a few
+   bytes a phrase. A first occurrence whose trigger context no other phrase has is unique: it stays.
+2. Corpus order. First occurrences that share a trigger context meet in a bucket. It builds the suffix array of its part
+   of the dictionary (``dictionary_ranks``: prefix doubling over the phrases, each ended by its trigger) and that of
+   the parse behind their triggers (``sorted_rows``, with common prefix lengths). A start's place in corpus order
+   is that of its phrase's suffix, and among equal suffixes that of the parse behind; so sorting by both ranks gives
+   the suffix array of the corpus, and neighbours in it with a common prefix of LENGTH bytes are equal strings. Of each
+   run of them the first of the corpus stays.
+3. A trigger context with more than ``CROWD`` phrases in one chunk, or ``MANY`` in all (the edge of a passage that a great
+   many documents share), would gather without bound; its starts are asked one by one, by the hash of their string, of
+   buckets that these hashes spread over. So a context sends at most CROWD entries a chunk to its bucket in step 1, at
+   most MANY in all in step 2, and a string one entry a chunk in step 3.
 
 What a chunk holds more than once it asks once, so a passage in a third of all documents is one entry a chunk.
 Phrases and strings are compared by 64-bit hashes in 1 and 3, and byte by byte in 2.
 
-Defined results: null text is empty. Rows that share a doc_id count as documents one after another, and so do null
-ids, after all others. Texts under LENGTH bytes stay whole. A table without rows gives none.
+Memory: a worker holds a chunk (``layout``; at least the longest document) some ten times, or a bucket's questions.
+
+Defined results: null text is empty. Rows that share a doc_id count as documents one after another, ordered by a hash of
+their text, whatever the table's layout (rows alike in both are the same); so do null ids, after all others. Texts
+under LENGTH bytes stay whole. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -35,16 +41,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .chunks import NULL_ID, answer, ask, bucket_count, by_bucket, chunked, extra_of, open_chunk, place, planes, rows_of, squeeze, told, unplanes
+from .chunks import NULL_ID, answer, ask, by_bucket, chunked, extra_of, layout_of, open_chunk, place, planes, ranks_of, rows_of, rows_of_chunk, squeeze, told, unplanes
 from .common import documents, durable, mix
 
 LENGTH, WINDOW, SPAN = 100, 12, 64
 CORE = LENGTH - SPAN + 1
 BLOCK = 1 << 19
-CROWD = 64
+CROWD, MANY = 16, 4096
+PART = 1 << 13
 B = 0xD1342543DE82EF95
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,20 +78,16 @@ class Hashes:
         return mix((self.sums[hi] - self.sums[lo]) * self.up[lo] + (hi - lo).astype(np.uint64) * ODD)
 
 
-def _triggers(b: np.ndarray, starts: int) -> np.ndarray:
-    """The trigger of each of the first ``starts`` places; b reaches far enough beyond."""
-    need = starts + SPAN + WINDOW
-    x = np.zeros(need + 8, np.uint64)
-    x[: min(len(b), len(x))] = b[: len(x)]
-    for k in (1, 2, 4):  # eight bytes from each place on
-        x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    h = mix(x[: starts + SPAN] * np.uint64(B) + x[WINDOW - 8 : WINDOW - 8 + starts + SPAN] * ODD)
-    v = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+def _triggers(h: Hashes, starts: int) -> np.ndarray:
+    """The trigger of each of the first ``starts`` places; the bytes reach LENGTH beyond."""
+    n = starts + SPAN - 1
+    v = mix((h.sums[WINDOW : n + WINDOW] - h.sums[:n]) * h.up[:n])  # the rolling hash of the window at each place
+    v = (v & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64)
     k = 1
     while k < SPAN:
         v = np.minimum(v[:-k], v[k:])
         k *= 2
-    return (v[:starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Parse:
@@ -90,9 +95,11 @@ class Parse:
 
     def __init__(self, blob: bytes, crowd: int):
         self.ids, self.at, self.raw = open_chunk(blob)
-        rows = np.argsort(self.ids, kind="stable")
-        parts = [p for r in rows for p in self._document(int(self.at[r]), int(self.at[r + 1]), int(self.ids[r]))]
-        self.lo, self.hi, self.trigger, self.text, self.context, self.doc = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+        self.ranks = ranks_of(blob)
+        rows = np.lexsort((self.ranks, self.ids))
+        parts = [p for r in rows for p in self._document(int(self.at[r]), int(self.at[r + 1]), int(r))]
+        self.lo, self.hi, self.trigger, self.text, self.context, self.row = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+        self.doc, self.rank = self.ids[self.row], self.ranks[self.row]
         # What occurs earlier in this chunk is known to go.
         order = np.argsort(self.text, kind="stable")
         again = np.zeros(len(order), bool)
@@ -104,17 +111,17 @@ class Parse:
         self.crowded = np.zeros(len(order), bool)
         self.crowded[first] = (n > crowd)[inverse] if len(c) else False
 
-    def _document(self, begin: int, end: int, doc: int) -> Iterator[tuple]:
+    def _document(self, begin: int, end: int, row: int) -> Iterator[tuple]:
         last = end - LENGTH + 1  # after the last start
         for s in range(begin, last, BLOCK):
             e = min(last, s + BLOCK)
             b = np.frombuffer(self.raw, np.uint8, min(end, e + LENGTH + SPAN) - s, s)
-            t = _triggers(b, e - s)
+            h = Hashes(b)
+            t = _triggers(h, e - s)
             lo = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1])
             hi = np.concatenate([lo[1:], [e - s]]) - 1
             t = t[lo]
-            h = Hashes(b)
-            yield lo + s, hi + s, t + s, h.of(lo, hi + LENGTH), h.of(t, t + CORE), np.full(len(lo), doc)
+            yield lo + s, hi + s, t + s, h.of(lo, hi + LENGTH), h.of(t, t + CORE), np.full(len(lo), row)
 
     def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases to ask for, in the order of buckets (corpus order within one), with bucket and more bits. Of a crowded context only one phrase goes, as a notice."""
@@ -127,7 +134,7 @@ class Parse:
         return which[order], bucket[order], rest[order]
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All starts of some phrases, in corpus order, with the hash of their string and their doc."""
+        """All starts of some phrases, in corpus order, with the hash of their string and their row."""
         size = self.hi[which] - self.lo[which] + 1
         starts = np.repeat(self.lo[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         hashes = np.empty(len(starts), np.uint64)
@@ -138,7 +145,7 @@ class Parse:
             if len(part):
                 h = Hashes(np.frombuffer(self.raw, np.uint8, min(len(self.raw) - lo, BLOCK + LENGTH), lo))
                 hashes[part] = h.of(starts[part] - lo, starts[part] - lo + LENGTH)
-        return starts, hashes, self.ids[rows]
+        return starts, hashes, rows
 
 
 def _question(buckets: int, crowd: int):
@@ -148,41 +155,47 @@ def _question(buckets: int, crowd: int):
         for b, part in by_bucket(bucket):
             w = which[part]
             flag = p.crowded[w].astype(np.uint8)
-            yield b, np.int64(len(w)).tobytes() + flag.tobytes() + planes(p.doc[w]) + planes(rest[part]) + p.text[w].tobytes()
+            yield b, np.int64(len(w)).tobytes() + flag.tobytes() + planes(p.doc[w]) + planes(p.rank[w]) + planes(rest[part]) + p.text[w].tobytes()
 
     return question
 
 
-def _earliest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For entries in the order of chunks, then corpus order: whether an entry with the same key comes before, and the order by key."""
-    by_doc = np.argsort(doc, kind="stable")
-    order = by_doc[np.argsort(key[by_doc], kind="stable")]
+def _corpus_order(doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order of entries that come by chunk and then by place."""
+    return np.lexsort((rank, doc)) if rank.any() else np.argsort(doc, kind="stable")
+
+
+def _later(key: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether an entry with the same key comes before in corpus order."""
+    order = _corpus_order(doc, rank)
+    order = order[np.argsort(key[order], kind="stable")]
     later = np.zeros(len(key), bool)
     later[order[1:]] = key[order[1:]] == key[order[:-1]]
-    return later, order
+    return later
 
 
 GOES, SHARED, CROWDED = 1, 2, 3
 
 
-def _reply(questions: list[bytes]) -> list[bytes]:
+def _reply(questions: list[bytes], many: int = MANY) -> list[bytes]:
     """For each phrase: 0 unique, GOES, SHARED (first, but its context has other phrases) or CROWDED."""
-    sizes, flags, docs, rests, texts = [], [], [], [], []
+    sizes, flags, docs, ranks, rests, texts = [], [], [], [], [], []
     for q in questions:
         n = int(np.frombuffer(q, np.int64, 1)[0])
         sizes.append(n)
         flags.append(np.frombuffer(q, np.uint8, n, 8))
         docs.append(unplanes(q[8 + n :], np.int64, n))
-        rests.append(unplanes(q[8 + 9 * n :], np.uint32, n))
-        texts.append(np.frombuffer(q[8 + 13 * n :], np.uint64, n))
-    flag, doc, rest, text = (np.concatenate(x) for x in (flags, docs, rests, texts))
+        ranks.append(unplanes(q[8 + 9 * n :], np.int64, n))
+        rests.append(unplanes(q[8 + 17 * n :], np.uint32, n))
+        texts.append(np.frombuffer(q[8 + 21 * n :], np.uint64, n))
+    flag, doc, rank, rest, text = (np.concatenate(x) for x in (flags, docs, ranks, rests, texts))
     # The same bits of the context are part of the key: the phrase alone would do.
-    later, _ = _earliest(text, doc)
+    later = _later(text, doc, rank)
     out = np.where(later, GOES, 0).astype(np.uint8)
     first = np.flatnonzero(~later)
     c, inverse, n = np.unique(rest[first], return_inverse=True, return_counts=True)
     out[first[n[inverse] > 1]] = SHARED
-    crowded = np.unique(rest[flag > 0])
+    crowded = np.union1d(rest[flag > 0], c[n > many])
     out[np.isin(rest, crowded)] = CROWDED
     ends = np.cumsum(sizes)
     return [out[e - n : e].tobytes() for e, n in zip(ends, sizes)]
@@ -209,15 +222,15 @@ def _second(buckets: int, crowd: int):
             w = shared[part]
             left, right = _contexts(b, p.trigger[w], p.lo[w])
             spans = np.stack([p.trigger[w] - p.lo[w], p.trigger[w] - p.hi[w]]).astype(np.uint8)
-            out.append((n, np.int64(len(w)).tobytes() + spans.tobytes() + planes(p.doc[w]) + left.tobytes() + right.tobytes()))
-        starts, hashes, docs = p.strings(np.flatnonzero(code == CROWDED))
-        own, _ = _earliest(hashes, docs)
+            out.append((n, np.int64(len(w)).tobytes() + spans.tobytes() + planes(p.doc[w]) + planes(p.rank[w]) + left.tobytes() + right.tobytes()))
+        starts, hashes, rows = p.strings(np.flatnonzero(code == CROWDED))
+        own = _later(hashes, p.ids[rows], p.ranks[rows])
         single_bucket, _ = place(hashes, buckets)
         ask_for = np.flatnonzero(~own)
         ask_for = ask_for[np.argsort(single_bucket[ask_for], kind="stable")]
         for n, part in by_bucket(single_bucket[ask_for]):
             w = ask_for[part]
-            out.append((buckets + n, np.int64(len(w)).tobytes() + planes(docs[w]) + hashes[w].tobytes()))
+            out.append((buckets + n, np.int64(len(w)).tobytes() + planes(p.ids[rows[w]]) + planes(p.ranks[rows[w]]) + hashes[w].tobytes()))
         known = [np.stack([p.lo[gone], p.hi[gone]]), np.stack([starts[own], starts[own]]), np.stack([p.lo[shared], p.hi[shared]]), np.stack([p.trigger[shared], p.trigger[shared]]), np.stack([starts[ask_for], starts[ask_for]])]
         head = np.array([k.shape[1] for k in known], np.int64).tobytes()
         out.append((-1, head + b"".join(np.ascontiguousarray(k).tobytes() for k in known)))
@@ -235,56 +248,121 @@ def _contexts(b: np.ndarray, trigger: np.ndarray, lo: np.ndarray) -> tuple[np.nd
     return left, right
 
 
-def _suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lexicographic order of byte rows, and the common prefix length of each with the one before it (0 for the first)."""
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each byte row in lexicographic order, and by rank the common prefix length with the row before (0 for the first).
+
+    For what follows triggers these are the suffix array of the parse and its common prefixes, as far as LENGTH bytes reach."""
     n, width = rows.shape
     order = np.argsort(np.ascontiguousarray(rows).view(f"V{width}").reshape(n), kind="stable")
     ordered = rows[order]
     differ = ordered[1:] != ordered[:-1]
     common = np.where(differ.any(1), differ.argmax(1), width)
-    return order, np.concatenate([[0], common])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    return rank, np.concatenate([[0], common])
+
+
+def dictionary_ranks(phrases: list[bytes], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a dictionary, as the rank of every suffix of its text, and the place of each phrase's end in that text.
+
+    The text is the phrases one after another, each closed by its trigger, which ``ends`` numbers; two suffixes have the
+    same rank if their phrases' bytes from there on and their triggers are equal. Prefix doubling: ranks by 1, 2, 4, ... symbols."""
+    size = np.fromiter(map(len, phrases), np.int64, len(phrases)) + 1
+    close = np.cumsum(size) - 1
+    rank = np.frombuffer(b"\0".join(phrases) + b"\0", np.uint8).astype(np.int64) + len(ends) + 1
+    rank[close] = ends + 1  # below all bytes
+    end = np.repeat(close, size)
+    here = np.arange(len(rank))
+    k = 1
+    while k < size.max():
+        ahead = here + k
+        inside = ahead <= end
+        key = rank * (rank.max() + 1)
+        key[inside] += rank[ahead[inside]]
+        rank = np.unique(key, return_inverse=True)[1] + 1
+        k *= 2
+    return rank, close
+
+
+def _least_between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of x[lo + 1 .. hi] (lo < hi), by minima over powers of two."""
+    levels = [x]
+    while 2 << (len(levels) - 1) <= len(x):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    level = np.frexp(hi - lo)[1] - 1
+    out = np.empty(len(lo), x.dtype)
+    for k in np.unique(level):
+        own = level == k
+        out[own] = np.minimum(levels[k][lo[own] + 1], levels[k][hi[own] + 1 - (1 << k)])
+    return out
+
+
+def repeated_starts(left: np.ndarray, right: np.ndarray, least: np.ndarray, most: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """For each phrase's starts (by rising start), whether their string is also that of a start of lower corpus rank.
+
+    ``left``: bytes before the trigger, backwards; ``right``: LENGTH bytes from it on; starts lie ``most`` to ``least`` bytes before it."""
+    n = len(left)
+    contexts = np.unique(np.ascontiguousarray(right[:, :CORE]).view(f"V{CORE}").reshape(n), return_inverse=True)[1].reshape(n)
+    forward = np.ascontiguousarray(left[:, ::-1])
+    of_suffix, close = dictionary_ranks([forward[i, SPAN - 1 - m :].tobytes() for i, m in enumerate(most.tolist())], contexts)
+    of_parse, common = sorted_rows(right)
+    size = most - least + 1
+    begin = np.cumsum(size) - size
+    entry = np.repeat(np.arange(n), size)
+    before = np.repeat(most, size) - (np.arange(size.sum()) - np.repeat(begin, size))
+    suffix = of_suffix[np.repeat(close, size) - before]
+    order = np.lexsort((of_parse[entry], suffix))  # the suffix array of the corpus
+    a, b = order[:-1], order[1:]
+    same = suffix[a] == suffix[b]
+    x, y = of_parse[entry[a[same]]], of_parse[entry[b[same]]]
+    same[same] = _least_between(common, x, y) >= LENGTH - before[b[same]] if len(x) else False
+    run = np.concatenate([[0], np.cumsum(~same)])
+    corpus = rank[entry[order]]
+    first = np.minimum.reduceat(corpus, np.flatnonzero(np.concatenate([[True], ~same])))
+    later = np.empty(len(order), bool)
+    later[order] = corpus != first[run]
+    return np.split(later, begin[1:])
 
 
 def _combine(questions: list[bytes]) -> list[bytes]:
-    """For each start of each phrase (by rising start), whether its string occurs earlier."""
-    sizes, spans, docs, lefts, rights = [], [], [], [], []
+    """For each start of each phrase (by rising start), whether its string occurs earlier. Whole contexts are taken some thousand phrases at a time."""
+    sizes, spans, docs, ranks, lefts, rights = [], [], [], [], [], []
     for q in questions:
         n = int(np.frombuffer(q, np.int64, 1)[0])
         sizes.append(n)
         spans.append(np.frombuffer(q, np.uint8, 2 * n, 8).reshape(2, n))
         docs.append(unplanes(q[8 + 2 * n :], np.int64, n))
-        at = 8 + 10 * n
+        ranks.append(unplanes(q[8 + 10 * n :], np.int64, n))
+        at = 8 + 18 * n
         lefts.append(np.frombuffer(q, np.uint8, n * (SPAN - 1), at).reshape(n, SPAN - 1))
         rights.append(np.frombuffer(q, np.uint8, n * LENGTH, at + n * (SPAN - 1)).reshape(n, LENGTH))
     most, least = np.concatenate(spans, axis=1).astype(np.int64)
     doc, left, right = np.concatenate(docs), np.concatenate(lefts), np.concatenate(rights)
     n = len(doc)
-    rank = np.empty(n, np.int64)  # corpus order
-    rank[np.argsort(doc, kind="stable")] = np.arange(n)
-    by_left, same_left = _suffix_array(left)
-    by_right, same_right = _suffix_array(right)
-    later = np.zeros((n, SPAN), bool)
-    of_left, of_right = np.empty(n, np.int64), np.empty(n, np.int64)
-    for a in range(SPAN):  # strings that start a bytes before the trigger
-        has = np.flatnonzero((least <= a) & (a <= most))
-        if len(has) < 2:
-            continue
-        of_left[by_left] = np.cumsum(same_left < a) if a else 0
-        of_right[by_right] = np.cumsum(same_right < LENGTH - a)
-        has = has[np.argsort(rank[has])]
-        kind = of_left[has] * (n + 1) + of_right[has]
-        order = np.argsort(kind, kind="stable")
-        later[has[order[1:]], a] = kind[order[1:]] == kind[order[:-1]]
-    flat = [later[i, least[i] : most[i] + 1][::-1] for i in range(n)]
+    corpus = np.empty(n, np.int64)
+    corpus[_corpus_order(doc, np.concatenate(ranks))] = np.arange(n)
+    context = np.ascontiguousarray(right[:, :CORE]).view(f"V{CORE}").reshape(n)
+    order = np.argsort(context, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], context[order[1:]] != context[order[:-1]]]))
+    flat: list[np.ndarray | None] = [None] * n
+    lo = 0
+    while lo < n:  # up to the last context that begins within PART phrases, or one context
+        k = np.searchsorted(new, lo + PART, side="right") - 1
+        hi = n if lo + PART >= n else int(new[k]) if new[k] > lo else int(new[k + 1]) if k + 1 < len(new) else n
+        part = order[lo:hi]
+        for i, later in zip(part.tolist(), repeated_starts(left[part], right[part], least[part], most[part], corpus[part])):
+            flat[i] = later
+        lo = hi
     ends = np.cumsum(sizes)
     return [np.packbits(np.concatenate(flat[e - k : e])).tobytes() for e, k in zip(ends, sizes)]
 
 
 def _single(questions: list[bytes]) -> list[bytes]:
     sizes = [int(np.frombuffer(q, np.int64, 1)[0]) for q in questions]
-    doc = np.concatenate([unplanes(q[8:], np.int64, n) for q, n in zip(questions, sizes)])
-    key = np.concatenate([np.frombuffer(q, np.uint64, n, 8 + 8 * n) for q, n in zip(questions, sizes)])
-    later, _ = _earliest(key, doc)
+    doc, rank = (np.concatenate([unplanes(q[8 + 8 * k * n :], np.int64, n) for q, n in zip(questions, sizes)]) for k in (0, 1))
+    key = np.concatenate([np.frombuffer(q, np.uint64, n, 8 + 16 * n) for q, n in zip(questions, sizes)])
+    later = _later(key, doc, rank)
     ends = np.cumsum(sizes)
     return [np.packbits(later[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
 
@@ -340,11 +418,17 @@ def _hash_at(raw: bytes, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def marked(docs: DataFrame, use, schema: str, extra: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
-    """``use(blob, ids, offsets, bytes, gone)`` for each chunk of the documents."""
-    chunks = chunked(docs, 2_000_000, extra)
-    buckets = bucket_count(chunks)
-    first = answer(ask(chunks, _question(buckets, crowd)), _reply)
+def _text_rank(docs: DataFrame) -> Column | None:
+    """A hash of the text for rows whose id is null or comes again, else 0; None if all ids are there once."""
+    again = durable(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id"))
+    return None if again.isEmpty() else F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def marked(docs: DataFrame, use, schema, extra: list[str] | None = None, crowd: int = CROWD, many: int = MANY, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """``use(blob, ids, offsets, bytes, gone)`` for each chunk of the documents. ``sizes``: bytes of a chunk and number of buckets, else by ``layout``."""
+    chunk_bytes, buckets = sizes or layout_of(docs)
+    chunks = chunked(docs, chunk_bytes, extra, _text_rank(docs))
+    first = answer(ask(chunks, _question(buckets, crowd)), lambda questions: _reply(questions, many))
     second = durable(told(chunks, [first], _second(buckets, crowd), "chunk long, bucket long, blob binary"))
 
     def reply(key, questions: list[bytes]) -> list[bytes]:
@@ -374,28 +458,28 @@ def _digest(blob: bytes, ids: np.ndarray, at: np.ndarray, raw: bytes, gone: np.n
     )
 
 
-def repeat_digest(docs: DataFrame) -> DataFrame:
+def repeat_digest(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return marked(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _cleaned(blob: bytes, ids: np.ndarray, at: np.ndarray, raw: bytes, gone: np.ndarray) -> pa.Table:
-    b = np.frombuffer(raw, np.uint8)
-    others, null = extra_of(blob)
-    texts = [None if null[k] else b[at[k] : at[k + 1]][~gone[at[k] : at[k + 1]]].tobytes().decode("utf-8", "ignore") for k in range(len(ids))]
-    total = np.concatenate([[0], np.cumsum(gone)])
-    out = pa.table([pa.array(ids, mask=ids == NULL_ID), pa.array(texts, pa.string()), pa.array(total[at[1:]] - total[at[:-1]])], names=["doc_id", "text", "n_removed"])
-    for name in others.column_names:
-        out = out.append_column(name, others.column(name))
-    return out
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows with repeated strings cut out of ``text`` (a character that a cut splits goes whole), and n_removed (bytes). Other columns stay."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_removed")]
-    types = dict(docs.dtypes)
-    schema = "doc_id long, text string, n_removed long" + "".join(f", `{c}` {types[c]}" for c in extra)
-    return marked(docs, _cleaned, schema, extra)
+    return marked(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **how)
+
+
+def without_repeats(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """The rows with repeated strings cut out of ``text`` (a character that a cut splits goes whole); all columns stay. ``count`` adds a column of that name with the bytes that went; the table must not have it yet."""
+    if count in docs.columns:
+        raise ValueError(f"the table has a column {count}")
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names, schema = docs.columns, docs.schema
+    id_type = to_arrow_type(schema["doc_id"].dataType)
+
+    def cleaned(blob: bytes, ids: np.ndarray, at: np.ndarray, raw: bytes, gone: np.ndarray) -> pa.Table:
+        b, null = np.frombuffer(raw, np.uint8), extra_of(blob)[1]
+        texts = [None if null[k] else b[at[k] : at[k + 1]][~gone[at[k] : at[k + 1]]].tobytes().decode("utf-8", "ignore").encode() for k in range(len(ids))]
+        out = rows_of_chunk(blob, names, texts)
+        out = out.set_column(names.index("doc_id"), "doc_id", out.column("doc_id").cast(id_type))
+        total = np.concatenate([[0], np.cumsum(gone)])
+        return out.append_column(count, pa.array(total[at[1:]] - total[at[:-1]])) if count else out
+
+    return marked(docs, cleaned, StructType([*schema.fields, StructField(count, LongType())] if count else schema.fields), extra)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

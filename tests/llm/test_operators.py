@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rippletrace.llm import chat_snapshots, decontaminate, jaccard_join, language_id, packing, quality_rules, repeats, token_counts, toxicity, url_filter
+from rippletrace.llm import chat_snapshots, chunks, decontaminate, jaccard_join, language_id, packing, quality_rules, repeats, token_counts, toxicity, url_filter
 from rippletrace.llm.common import Memo
 from tests.compare import same
 from tests.conftest import SMALL
@@ -120,33 +120,99 @@ def test_boundary_follows_cost():
 
 
 def test_one_of_each_class(docs, rows):
-    kept = [r.doc_id for r in jaccard_join.one_of_each_class(docs).collect()]
-    want = {doc for doc, _, c in brute_components(rows) if doc is not None and doc == c}
-    assert sorted(d for d in kept if d is not None) == sorted(want) and kept.count(None) == 2
+    """Exact copies go whether their id is null, shared or their own; rows without words all stay."""
+    named = brute_components(rows)
+    got = jaccard_join.one_of_each_class(docs)
+    kept = [r.doc_id for r in got.collect()]
+    empty = [doc for doc, n, _ in named if not n]
+    want = {doc for doc, n, c in named if n and doc is not None and doc == c}
+    assert got.columns == docs.columns and got.schema == docs.schema
+    assert sorted(kept, key=repr) == sorted([*want, *empty], key=repr)
+
+
+def test_rows_that_share_an_id_are_documents_each(spark):
+    """Two texts under one id: each class keeps its row, and a near copy of either goes."""
+    rng = random.Random(14)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    near = lambda t: " ".join(["other", *t.split()[1:]])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (None, near(c)), (None, a), (None, None), (5, None), (5, None)]
+    want = sorted([(1, a), (1, b), (None, None), (5, None), (5, None)], key=repr)
+    for parts in (1, 3):
+        got = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each_class(table(spark, rows).repartition(parts)).collect()), key=repr)
+        assert [r for r in got if r[1] not in (c, near(c))] == want and sum(r[1] in (c, near(c)) for r in got) == 1
+        assert {r[1] for r in got} - {c} == {a, b, None, near(c)} - {c} or c in {r[1] for r in got}
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard_join.one_of_each_class(plain).count() == 6 and jaccard_join.one_of_each_class(plain).columns == ["doc_id", "text"]
+
+
+def test_a_template_in_many_unlike_documents(spark):
+    """Long lists whose sets are mostly not linked: all rounds of centres run, and no link is lost."""
+    rng = random.Random(17)
+    words = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    template, bodies = words(24), [words(14) for _ in range(40)]
+    rows = [(i, " ".join(template[:12] + bodies[i % 40][: rng.choice([13, 14])] + template[12:])) for i in range(120)]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(table(spark, rows), short=2).collect()), key=repr)
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("sizes", [(200, 64), (3_000, 1), (1_000_000, 500)])
+def test_any_layout_gives_the_same(docs, rows, sizes):
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs, sizes=sizes).collect()), key=repr)
+    assert got == brute_components(rows)
+
+
+def test_layout_keeps_questions_whole():
+    """From 1 MB to 10 PB: a chunk has entries for every bucket, and chunks and buckets fit into a worker."""
+    for total in (10**k for k in range(6, 17)):
+        for partitions in (8, 200, 20_000):
+            chunk, buckets = chunks.layout(total, partitions)
+            assert 2_000_000 <= chunk <= 2**30 and buckets >= 2 * partitions
+            assert buckets == 2 * partitions or (chunk / 32 / buckets >= 7.9 and total / buckets < 8e9)
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
-def test_repeats(docs, rows):
-    ordered = sorted(((2**63 - 1 if i is None else i, (t or "").encode()) for i, t in rows), key=lambda r: r[0])
-    want = {}
-    for (i, t), b in zip(ordered, brute(ordered)):
-        want.setdefault(i, []).append(b)
-    got = {}
-    for r in repeats.repeat_digest(docs).collect():
-        got.setdefault(2**63 - 1 if r.doc_id is None else r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
-    assert {k: sorted(v) for k, v in got.items() if k < 2**62} == {k: sorted(v) for k, v in want.items() if k < 2**62}
-    assert len(got[2**63 - 1]) == 2
-
-
-def test_cleaned_texts(docs):
-    out = repeats.without_repeats(docs)
-    digest = {(r.doc_id, r.kept_sha256) for r in repeats.repeat_digest(docs).where("doc_id not in (11)").collect() if r.doc_id is not None}
-    got = out.where("doc_id is not null and doc_id not in (11)").collect()
-    assert set(out.columns) == {*docs.columns, "n_removed"} and out.where("text is null").count() == docs.where("text is null").count()
-    assert {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got} == digest
-    assert {(r.doc_id, r.n_chars, r.key) for r in got} == {(r.doc_id, r.n_chars, r.key) for r in docs.where("doc_id is not null and doc_id not in (11)").collect()}
+def brute_digests(rows):
+    """By (id, hash of the text where an id is null or shared), the rule of the operator; equal rows count as a multiset."""
+    ids = [i for i, _ in rows]
+    order = sorted(rows, key=lambda r: (2**63 - 1 if r[0] is None else r[0], signed(r[1]) if r[0] is None or ids.count(r[0]) > 1 else 0))
+    return sorted(((i, *b) for (i, _), b in zip(order, brute([(i, (t or "").encode()) for i, t in order]))), key=repr)
+
+
+def signed(text):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("how", [{}, {"sizes": (300, 64)}, {"crowd": 1, "many": 3, "sizes": (4_000, 1)}])
+def test_repeats(spark, docs, rows, how):
+    """Whatever the table's layout, also for rows that share an id."""
+    rng = random.Random(20)
+    shared = " ".join(f"v{rng.randrange(10**5)}" for _ in range(60))
+    more = [(None, f"{k} {shared} {k}") for k in range(4)] + [(77, f"{shared} {k}") for k in range(3)]
+    for parts in (1, 4):
+        own = docs.unionByName(table(spark, more)).repartition(parts, "text")
+        got = sorted((tuple(r) for r in repeats.repeat_digest(own, **how).collect()), key=repr)
+        assert got == brute_digests([*rows, *more])
+
+
+def test_cleaned_texts(spark, docs, rows):
+    own = docs.withColumn("n_removed", F.lit(77)).withColumn("text2", F.col("text"))
+    out = repeats.without_repeats(own)
+    assert out.schema == own.schema and {r.n_removed for r in out.collect()} == {77}
+    digest = sorted((r.doc_id, r.kept_sha256) for r in repeats.repeat_digest(docs).collect() if r.doc_id is not None)
+    assert sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect() if r.doc_id is not None) == digest
+    assert out.where("text is null").count() == docs.where("text is null").count()
+    assert sorted(((r.doc_id, r.text2, r.n_chars) for r in out.collect()), key=repr) == sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=repr)
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    two = repeats.without_repeats(plain, count="gone")
+    assert two.columns == ["doc_id", "text", "gone"] and two.count() == len(rows)
+    with pytest.raises(ValueError):
+        repeats.without_repeats(own, count="n_removed")
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------
