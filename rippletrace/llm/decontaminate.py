@@ -3,15 +3,18 @@
 Every word n-gram of a test item is a seed, so any copy that keeps n words in a row is met. Where a document has a
 seed, the item is aligned with the words around (match 2, mismatch -1, gap -1); the score is the best local
 alignment's share of a perfect one's. The words around reach as far as an alignment of the threshold's score can.
-Windows that have too few of the item's words for the threshold are left out before, which is exact.
+Windows that have too few of the item's words for the threshold are left out before, which is exact. An item of fewer
+than n words has no seed; it is found where it stands word for word, with score 1. (A copy in which no n words of the item
+are left in a row, as when every third word is changed, isn't met by seeds of three; the tests measure the recall.)
 
-The benchmark is the stated query set: it goes to the workers in blocks of at most ``block`` n-grams, so any size of
-it has bounded memory, and all documents are read for each block. There is no shuffle.
+The benchmark is the stated query set: its distinct texts go to the workers in blocks of about ``block`` n-grams, so any
+size of it has bounded memory (an item is held whole), and all documents are read for each block. Found texts are joined
+with the items that have them, so repeated items cost no more than their rows.
 
 Words are the pieces between white space, lower-cased, without punctuation around them.
 
-Defined results: null or empty texts and items match nothing; neither do items under n words. Repeated rows give
-repeated results; an item_id that comes twice counts as two items. Null ids stay. Empty tables give no rows.
+Defined results: null or empty texts and items match nothing. Repeated rows give repeated results; an item_id that comes
+twice counts as two items. Null ids stay. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -41,14 +44,19 @@ def words_of(text: str) -> list[str]:
 class Items:
     """A block of the benchmark: the words' numbers (from 1) and the n-grams of the items."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], n: int):
+    def __init__(self, rows: list[tuple[tuple[int, int], str]], n: int):
         self.n = n
         self.vocabulary: dict[str, int] = {}
         self.names = [i for i, _ in rows]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
         self.codes = [grams(w, n)[1] for w in self.words]
         self.known = np.unique(np.concatenate(self.codes)) if self.codes else np.zeros(0, np.uint64)
-        self.key = int(self.known.sum(dtype=np.uint64))
+        self.key = hash(tuple(self.names))
+        # Items without a seed, by length: their only gram's code -> items.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < n:
+                self.short.setdefault(len(w), {}).setdefault(int(grams(w, len(w))[1][0]), []).append(k)
         # Every n-gram's items and places, by n-gram.
         item = np.repeat(np.arange(len(self.codes)), [len(c) for c in self.codes])
         place = np.concatenate([np.arange(len(c)) for c in self.codes]) if self.codes else np.zeros(0, np.int64)
@@ -117,6 +125,12 @@ def score(own: np.ndarray, window: np.ndarray, threshold: float) -> tuple[float,
 
 def _found(ids: np.ndarray, items: Items, threshold: float) -> Iterator[tuple[int, float, int, int]]:
     """item, score, first and last word (exclusive) of the copies in a text, one for each window that has one."""
+    for size, held in items.short.items():
+        at, code = grams(ids, size)
+        _, first = np.unique(code, return_index=True)
+        for k in first.tolist():
+            for i in held.get(int(code[k]), ()):
+                yield i, 1.0, int(at[k]), int(at[k]) + size
     at, code = grams(ids, items.n)
     if not len(at) or not len(items.known):
         return
@@ -166,20 +180,26 @@ def _reader(items: Items):
     return lambda raw: np.frombuffer(b"".join(map(look, raw.split())), np.int64)
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> Iterator[Broadcast]:
-    """Broadcast ``Items``, a block at a time."""
+def _keyed(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, k1, k2: two hashes stand for a text."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    return rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("second"), "text"))
+
+
+def blocks(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> Iterator[Broadcast]:
+    """Broadcast ``Items`` of the distinct texts, a block at a time."""
+    texts = _keyed(benchmark).select("k1", "k2", "text").distinct()
+    size = texts.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = max(1, -(-int(size) // block))
     for k in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect() if parts > 1 else rows.collect()
-        yield docs.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in own], n))
+        own = texts.where(F.pmod("k1", F.lit(parts)) == k).orderBy("k1", "k2").collect() if parts > 1 else texts.orderBy("k1", "k2").collect()
+        yield docs.sparkSession.sparkContext.broadcast(Items([((r["k1"], r["k2"]), r["text"]) for r in own], n))
 
 
-LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
+FOUND = "doc_id long, k1 long, k2 long, score double, start_word long, end_word long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 500_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 500_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, score (0 to 1), start_word and end_word of the best copy, for all pairs of at least the threshold. Texts are read once for each block."""
 
     def run_of(broadcast):
@@ -193,18 +213,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n:
                     best: dict[int, tuple[float, int, int]] = {}
                     for i, share, start, end in _found(read(raw[at[k] : at[k + 1]]), items, threshold):
                         best[i] = max(best.get(i, (0.0, 0, 0)), (share, -start, end))
-                    rows += [(doc, items.names[i], share, -start, end) for i, (share, start, end) in best.items()]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in LEAKS.split(", ")])
+                    rows += [(doc, *items.names[i], share, -start, end) for i, (share, start, end) in best.items()]
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in FOUND.split(", ")])
 
         return run
 
     out = None
     for items in blocks(docs, benchmark, n, block):
-        found = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run_of(items), LEAKS)
+        found = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run_of(items), FOUND)
         out = found if out is None else out.unionByName(found)
-    return out
+    names = _keyed(benchmark).select("item_id", "k1", "k2")
+    names = F.broadcast(names) if names.count() <= broadcast_rows else names.hint("merge")
+    return out.join(names, ["k1", "k2"]).select("doc_id", "item_id", "score", "start_word", "end_word")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 500_000) -> DataFrame:
