@@ -5,20 +5,25 @@ the longest that fits decides. Urls that no rule fits are scored: names in the h
 unigram Viterbi (words of the pages' own text are the lexicon), and a multinomial naive Bayes over the hashed words,
 taught by the urls that rules decide, gives the verdict.
 
-Every word of the pages counts at any size: the substrings of the distinct names are joined with all word counts, each
-name is split once with the words that it holds, and the splits are joined back to the urls. Only the counts' total
-and ``buckets`` counts for each class reach the driver.
+Words are runs of letters (of any script) of any length, lower-cased: of the pages' text without scripts, styles,
+comments, tags and character references, and, as names, of the host (international labels decoded) and of the path
+(percent-decoded). Runs of digits are names of their own, by length alone.
+
+Every word of the pages counts at any size: the substrings of the distinct names that are as long as some word are joined
+with all word counts, each name is split once with the words that it holds, and the splits are joined back to the urls.
+Only the counts' total, the distinct word lengths and ``buckets`` counts for each class reach the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; it fits no rule, and its score is
-the prior's. Without decided urls everything is allowed. Repeated rows and null ids stay. No rows give none.
+the prior's. Unless rules decide urls of both classes there is nothing to learn, and what no rule fits is allowed with
+score 0. Repeated rows and null ids stay. No rows give none.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from math import log
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,8 @@ from .common import Memo, durable, map_arrow
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Letters of the longest word that counts.
-LONGEST = 24
+#: What of a page is no text.
+MARKUP = r"(?is)<script\b.*?(</script\s*>|$)|<style\b.*?(</style\s*>|$)|<!--.*?(-->|$)|<[^>]*>|&[a-z0-9#]{1,32};"
 
 
 def host_of(url: Column) -> Column:
@@ -54,9 +59,9 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """w, n: the words (2 to LONGEST letters) of the pages' texts without tags."""
-    text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
+    """w, n: the words of the pages' texts."""
+    text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), MARKUP, " "))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("w")).where("w != ''")
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
@@ -91,24 +96,43 @@ class Segmenter:
         return tuple(reversed(out))
 
 
+def names_of(host: str, path: str) -> list[tuple[str, str]]:
+    """(side, name): runs of letters, and runs of digits as zeros."""
+    import regex
+
+    labels = []
+    for label in host.split("."):
+        try:
+            labels.append(label.encode("ascii").decode("idna") if label.startswith("xn--") else label)
+        except UnicodeError:
+            labels.append(label)
+    found = [(side, name) for side, text in (("h", ".".join(labels)), ("p", unquote(path))) for name in regex.findall(r"[\p{L}\p{M}]+|\p{Nd}+", text.lower())]
+    return [(side, "0" * len(name) if name[0].isdecimal() else name) for side, name in found]
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The names of host and path, numbered; numbers stay whole, as zeros."""
+    """The names of host and path, numbered."""
     for b in batches:
         rows = []
         for host, path in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
-            found = [(side, name) for side, text in (("h", host), ("p", path.lower())) for name in re.findall(r"[a-z]+|[0-9]+", text)]
-            rows += [(host, path, k, side, name if name.isalpha() else "0" * len(name)) for k, (side, name) in enumerate(found)]
+            rows += [(host, path, k, side, name) for k, (side, name) in enumerate(names_of(host, path))]
         cols = list(zip(*rows)) if rows else [[]] * 5
         types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "path", "at", "side", "name"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every substring of a name that may be a word, once for each name."""
-    for b in batches:
-        for name in b.column("name").to_pylist():
-            found = sorted({name[k : k + n] for n in range(2, LONGEST + 1) for k in range(len(name) - n + 1)})
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "w"])
+def _pieces(lengths: list[int]):
+    """Every substring of a name that is as long as a word, with the name's two hashes; a long name gives several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, k1, k2 in zip(*(b.column(c).to_pylist() for c in ("name", "k1", "k2"))):
+                for n in lengths:
+                    for lo in range(0, len(name) - n + 1, 4096):
+                        found = sorted({name[k : k + n] for k in range(lo, min(lo + 4096, len(name) - n + 1))})
+                        yield pa.RecordBatch.from_arrays([pa.array([k1] * len(found), pa.int64()), pa.array([k2] * len(found), pa.int64()), pa.array(found, pa.string())], ["k1", "k2", "w"])
+
+    return run
 
 
 def _split(total: int, longest: int):
@@ -124,12 +148,14 @@ def _split(total: int, longest: int):
 def url_words(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """host, path, words of the distinct urls that have names."""
     counts = durable(word_counts(pages))
-    size = counts.agg(F.sum("n").alias("total"), F.max(F.length("w")).alias("longest")).first()
+    size = counts.agg(F.sum("n").alias("total"), F.array_sort(F.collect_set(F.length("w"))).alias("lengths")).first()
     of_url = durable(map_arrow(urls.select("host", "path").distinct(), _names, "host string, path string, at long, side string, name string"))
-    names = durable(of_url.where("name rlike '^[a-z]'").select("name").distinct())
-    hits = map_arrow(names, _pieces, "name string, w string").join(counts, "w").select("name", F.struct("w", "n").alias("x"))
-    held = hits.unionByName(names.select("name", F.lit(None).cast(hits.schema["x"].dataType).alias("x"))).groupBy("name").agg(F.collect_list("x").alias("held"))
-    splits = durable(map_arrow(held, _split(size["total"] or 0, size["longest"] or 1), "name string, words array<string>"))
+    names = durable(of_url.where("name not like '0%'").select("name").distinct().select("name", F.xxhash64("name").alias("k1"), F.xxhash64(F.lit("second"), "name").alias("k2")))
+    pieces = map_arrow(names, _pieces(size["lengths"]), "k1 long, k2 long, w string").distinct()
+    held = pieces.join(counts, "w").groupBy("k1", "k2").agg(F.collect_list(F.struct("w", "n")).alias("held"))
+    none = F.array().cast(held.schema["held"].dataType)
+    both = names.join(held, ["k1", "k2"], "left").select("name", F.coalesce("held", none).alias("held"))
+    splits = durable(map_arrow(both, _split(size["total"] or 0, max(size["lengths"], default=1)), "name string, words array<string>"))
     both = of_url.join(splits.withColumnRenamed("name", "s"), F.col("name") == F.col("s"), "left")
     words = F.transform(F.coalesce("words", F.array("name")), lambda w: F.concat("side", F.lit(":"), w))
     rows = both.select("host", "path", F.struct("at", words.alias("words")).alias("x")).groupBy("host", "path").agg(F.array_sort(F.collect_list("x")).alias("x"))
@@ -150,9 +176,9 @@ def learn(segmented: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
         n[r["side"], r["bucket"]] += r["n"]
     docs = {r["side"]: r["n"] for r in known.groupBy(side).agg(F.count("*").alias("n")).collect()}
     odds = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    if not docs.get(1):
-        return np.zeros(buckets), -50.0
-    return odds, log((docs[1] + 1) / (docs.get(0, 0) + 1))
+    if not docs.get(1) or not docs.get(0):
+        return np.zeros(buckets), -np.inf
+    return odds, log((docs[1] + 1) / (docs[0] + 1))
 
 
 def _verdict(model, buckets: int):
@@ -160,7 +186,8 @@ def _verdict(model, buckets: int):
         odds, prior = model.value
         memo = Memo(lambda w: float(odds[zlib.crc32(w.encode()) % buckets]), 50_000)
         for b in batches:
-            score = 1 / (1 + np.exp(-np.clip([prior + sum(map(memo.__getitem__, ws)) for ws in b.column("words").to_pylist()], -50, 50)))
+            logit = np.array([prior + sum(map(memo.__getitem__, ws)) for ws in b.column("words").to_pylist()], np.float64)
+            score = np.where(np.isfinite(logit), 1 / (1 + np.exp(-np.clip(logit, -50, 50))), 0.0)
             verdict = [r or ("block" if s > 0.5 else "allow") for r, s in zip(b.column("by_rule").to_pylist(), score)]
             names = ["page_id", "host", "path", "rule", "words"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(score, pa.float64()), pa.array(verdict, pa.string())], [*names, "block_score", "verdict"])

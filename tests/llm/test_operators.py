@@ -462,6 +462,8 @@ def test_url_rules(spark):
         host, path, rule = brute_url(URLS[r.page_id] if r.page_id is not None else URLS[3])
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[0]) and r.verdict == (rule[1] if rule else r.verdict) and r.verdict in ("allow", "block")
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    clash = url_filter.filter_urls(pages.select("*", *[F.lit(1).alias(c) for c in ("host", "path", "words", "name", "w", "k1", "held", "rule")])).collect()
+    assert sorted(map(repr, clash)) == sorted(map(repr, out))
 
 
 def test_segmentation():
@@ -469,6 +471,64 @@ def test_segmentation():
     assert s.split("cheappills") == ("cheap", "pills") and s.split("spamfarm") == ("spam", "farm") and "".join(s.split("zzcheapq")) == "zzcheapq" and s.split("") == ()
 
 
+def brute_url_filter(pages, buckets):
+    """words, block_score and verdict of each page, in plain Python."""
+    import regex
+
+    counts = {}
+    for _, _, html in pages:
+        text = regex.sub(r"(?is)<script\b.*?(</script\s*>|$)|<style\b.*?(</style\s*>|$)|<!--.*?(-->|$)|<[^>]*>|&[a-z0-9#]{1,32};", " ", html or "").lower()
+        for w in regex.findall(r"[\p{L}\p{M}]+", text):
+            counts[w] = counts.get(w, 0) + 1
+    s = url_filter.Segmenter(counts)
+    rows = []
+    for page, url, _ in pages:
+        host, path, rule = brute_url(url)
+        words = [f"{side}:{w}" for side, name in url_filter.names_of(host, path) for w in ((name,) if name[0] == "0" else s.split(name))]
+        rows.append((page, words, rule and rule[1]))
+    n, docs = np.ones((2, buckets)), [0, 0]
+    for _, words, verdict in rows:
+        if verdict:
+            docs[verdict == "block"] += 1
+            for w in words:
+                n[int(verdict == "block"), zlib.crc32(w.encode()) % buckets] += 1
+    odds = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+    out = []
+    for page, words, verdict in rows:
+        z = np.log((docs[1] + 1) / (docs[0] + 1)) + sum(odds[zlib.crc32(w.encode()) % buckets] for w in words)
+        score = 1 / (1 + np.exp(-np.clip(z, -50, 50))) if all(docs) else 0.0
+        out.append((page, words, score, verdict or ("block" if score > 0.5 else "allow")))
+    return out
+
+
+def same_urls(got, want):
+    key = lambda r: repr(r[:2])
+    got = sorted(((r.page_id, r.words, r.block_score, r.verdict) for r in got), key=key)
+    want = sorted(want, key=key)
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9)
+
+
+@pytest.mark.parametrize("buckets", [1 << 16, 7])
+def test_url_verdicts_equal_brute_force(spark, buckets):
+    """Segments, scores and verdicts, on all pages of the smallest table and on odd ones: other scripts, escapes, markup, long names, repeats."""
+    table_ = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html")
+    odd = [(10_000 + i, u, "<script>var spam='x'</script><!-- zz --><p>spam&nbsp;farm für f\u00fcr \u4e2d\u6587 a b &amp; cheap pills") for i, u in enumerate(URLS)]
+    odd += [(20_000, "http://spamf\u00fcrfarm.de/%C3%BCber/f%C3%BCrspam", None), (20_001, "http://xn--frspam-3ya.com/en/1", ""), (20_002, "http://xn--.com/a", None), (None, "http://a.b/" + "spamfarm" * 700, "x"), (20_003, "http://a.b/c", "word " * 50_000 + "w" * 60)]
+    odd += [odd[3], odd[3]]
+    pages = [tuple(r) for r in table_.collect()] + odd
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), buckets=buckets).collect()
+    same_urls(got, brute_url_filter(pages, buckets))
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_urls_of_one_decided_class(spark):
+    """Rules that decide only one class teach nothing: the rest is allowed."""
+    pages = [(1, "http://a.com/en/1", "a"), (2, "http://b.com/en/2", "b"), (3, "http://c.io/x", "c"), (4, None, None)]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def test_every_word_counts_at_any_size(spark):
     rng = random.Random(12)
     letters = lambda n: "".join(rng.choice("bcdfghjklm") for _ in range(n))
@@ -476,13 +536,8 @@ def test_every_word_counts_at_any_size(spark):
     texts = [*(" ".join(rare[k : k + 2_000]) for k in range(0, len(rare), 2_000)), "spam farm " * 50]
     urls = [f"http://{rare[k]}{rare[-k]}.net/{rare[2 * k]}spam/12" for k in range(1, 30)]
     pages = [(k, urls[k % len(urls)], t) for k, t in enumerate(texts)] + [(1_000, "http://spamfarm.net/", None), (1_001, "http://spamfarm.net/", None)]
-    counts = {w: 1 for w in rare} | {"spam": 50, "farm": 50}
-    s = url_filter.Segmenter(counts)
     out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert sorted(r.page_id for r in out) == [p for p, _, _ in pages]
-    for r in out:
-        want = [f"{side}:{w}" for side, t in (("h", r.host), ("p", r.path)) for name in re.findall("[a-z]+|[0-9]+", t) for w in (s.split(name) if name.isalpha() else ("0" * len(name),))]
-        assert r.words == want
+    same_urls(out, brute_url_filter(pages, 1 << 16))
     assert sum(f"h:{rare[k]}" in r.words for r in out for k in range(1, 30)) >= 29
 
 
