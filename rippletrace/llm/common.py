@@ -37,6 +37,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grouped(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """df.groupBy(key).agg(*aggregates), to be joined by the key.
+
+    The rows are dealt by a struct of the key, which a join by the key can't use: it deals both sides anew, as two plain
+    shuffles, and adaptive execution can split a hot key. (A side that comes straight from its aggregate can't be split.)"""
+    return df.groupBy(F.struct(key).alias("of")).agg(*aggregates).withColumn(key, F.col(f"of.{key}")).drop("of")
+
+
 _shipped: set[str] = set()
 
 

@@ -1,7 +1,7 @@
 """Connected components of a graph given as a table of links, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join on the node. The minima are pre-aggregated and made durable, so that the join
-is one of two plain shuffles, in which adaptive execution splits the links of a hub; nothing is collected. The steps end when the links no longer change: then each node links to the least node it reaches.
+Every step is a grouped minimum and a join on the node. The minima are pre-aggregated, and the join is one of two plain
+shuffles, in which adaptive execution splits the links of a hub; nothing is collected. The steps end when the links no longer change: then each node links to the least node it reaches.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, grouped
 
 
 def components(links: DataFrame, most_steps: int = 100) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame, most_steps: int = 100) -> DataFrame:
     edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _digest(edges)
     for _ in range(most_steps):
-        edges = durable(_small_star(durable(_large_star(edges))))
+        edges = durable(_small_star(_large_star(edges)))
         now = _digest(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -31,11 +31,11 @@ def _digest(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(durable(least).hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = grouped(both, "u", F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = durable(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
+    least = grouped(edges, "u", F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
     lower = edges.join(least.hint("merge"), F.col("u") == F.col("k")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NULL_ID, answer, ask, by_bucket, chunked, layout_of, open_chunk, place, planes, rows_with, told, unplanes
-from .common import documents, durable, map_arrow, mix, shared_memo
+from .common import documents, durable, grouped, map_arrow, mix, shared_memo
 from .components import components
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -235,7 +235,7 @@ class Classes:
         first = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("fp").alias("set"), "key", "pos", "doc_id")
         of_set = self.rows.where("n > 0").groupBy("fp").agg(F.min(first).alias("p"))
         self.named = durable(_rooted(of_set, self.roots))
-        return durable(self.named.groupBy("root").agg(F.min("p").alias("p")))
+        return grouped(self.named, "root", F.min("p").alias("p"))
 
 
 def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = None, sizes: tuple[int, int] | None = None) -> Classes:
@@ -248,16 +248,14 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
 
     # Light sets: an equal subset proves the link to the least set of the smaller size.
     subsets = listed.where("kind = 1").select("key", "fp", "n", F.col("pos").alias("lo")).distinct()
-    first = subsets.groupBy("key").agg(F.min(F.struct("n", "fp")).alias("p"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "p")
-    links = subsets.join(durable(first).hint("merge"), F.col("key") == F.col("k")).where("p.n = lo and p.fp != fp").select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    first = grouped(subsets, "key", F.min(F.struct("n", "fp")).alias("p"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "p")
+    links = subsets.join(first.hint("merge"), F.col("key") == F.col("k")).where("p.n = lo and p.fp != fp").select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
     # Heavy sets: inverted lists with their number of sets and most central set.
     entries = listed.where("kind = 0").groupBy("key", "fp").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    heads = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "fp")).alias("p")).where("c > 1")
+    heads = grouped(entries, "key", F.count("*").alias("c"), F.min(F.struct("pos", "n", "fp")).alias("p")).where("c > 1")
     heads = heads.select(F.col("key").alias("k"), "c", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
-    # Joins by list are sort-merge joins of two plain shuffles, in which adaptive execution splits the entries of a hot
-    # list; so what is grouped by list is made durable before.
-    lists = durable(entries.join(durable(heads).hint("merge"), F.col("key") == F.col("k")).drop("k"))
+    lists = durable(entries.join(heads.hint("merge"), F.col("key") == F.col("k")).drop("k"))
     col = F.col
     with_head = lists.where(col("fp") != col("p_fp")).where(_possible(col("n"), col("pos"), col("p_n"), col("p_pos")))
     other = lists.where("c between 3 and %d" % short).select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"))
@@ -271,8 +269,8 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
     long, done, centres = lists.where(col("c") > short).drop("p_fp", "p_n", "p_pos").withColumn("draw", draw), 0, 0
     while True:
         rows = _rooted(long.where(col("draw") * col("c") >= done), roots)
-        open_ = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(col("key").alias("k"), "r1")
-        long = durable(rows.join(durable(open_).hint("merge"), col("key") == col("k")).drop("k"))
+        open_ = grouped(rows, "key", F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(col("key").alias("k"), "r1")
+        long = durable(rows.join(open_.hint("merge"), col("key") == col("k")).drop("k"))
         if long.isEmpty():
             break
         if centres:
@@ -280,8 +278,8 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
             partner = partner.select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"), col("root").alias("o_root"))
             done += centres
         else:  # of another class than the greatest
-            best = long.where("root != r1").groupBy("key").agg(F.min(F.struct("pos", "n", "fp", "root")).alias("p"))
-            partner = durable(best).select(col("key").alias("k"), col("p.fp").alias("o_fp"), col("p.n").alias("o_n"), col("p.pos").alias("o_pos"), col("p.root").alias("o_root"))
+            best = grouped(long.where("root != r1"), "key", F.min(F.struct("pos", "n", "fp", "root")).alias("p"))
+            partner = best.select(col("key").alias("k"), col("p.fp").alias("o_fp"), col("p.n").alias("o_n"), col("p.pos").alias("o_pos"), col("p.root").alias("o_root"))
         centres = 8 * max(1, centres)
         more = long.join(partner.hint("merge"), (col("key") == col("k")) & (col("root") != col("o_root"))).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
         more = durable(_pairs(more, "o_fp").join(seen, ["a", "b"], "left_anti"))
@@ -300,7 +298,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, short: int = 8, sizes: tu
     col = F.col
     least = c.best().select(col("root").alias("r"), col("p.doc_id").alias("component_id"))
     of_set = c.named.join(least.hint("merge"), col("root") == col("r")).select(col("fp").alias("s"), "component_id")
-    out = c.rows.join(durable(of_set).hint("merge"), (col("fp") == col("s")) & (col("n") > 0), "left")
+    out = c.rows.join(of_set.hint("merge"), (col("fp") == col("s")) & (col("n") > 0), "left")
     return out.select("doc_id", col("n").cast("long").alias("n_shingles"), F.when(col("n") > 0, col("component_id")).otherwise(col("doc_id")).alias("component_id"))
 
 
