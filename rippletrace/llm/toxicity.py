@@ -7,8 +7,10 @@ jointly by Adam on the cross-entropy. A word that was never seen shares n-gram v
 At prediction the model is linear in the words, so each worker keeps a bounded table word -> logit and averages it:
 one look-up a word.
 
-The fit takes at most ``positives`` and ``negatives`` labelled rows (by hash of the id); only their ids, and then
-their texts, reach the driver. The prior is set back to that of all labelled rows.
+The fit takes at most ``positives`` and ``negatives`` labelled rows (by hash of the id). Their ids reach the driver, and
+then their counts of distinct words; of a text with more than ``words_a_text`` distinct words the fit takes that many of
+them, by hash (scores always use whole texts). So rows and bytes of the fit are bounded at any size. The prior is set back
+to that of all labelled rows.
 
 Defined results: a text without words (null, empty) has the score of the prior. Labels that are null, or of null ids, are not learnt;
 if a document has several labels the largest counts. Without any label of either kind every score is the prior (0 if
@@ -43,29 +45,41 @@ def _words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+Counts = tuple[list[str], list[int], int]
+
+
+def word_counts(text: str, most: int) -> Counts:
+    """Distinct words and their counts, ``most`` of them by hash, and the number of all words."""
+    words = _words(text)
+    count: dict[str, int] = {}
+    for w in words:
+        count[w] = count.get(w, 0) + 1
+    held = count if len(count) <= most else sorted(count, key=lambda w: (zlib.crc32(w.encode()), w))[:most]
+    return list(held), [count[w] for w in held], len(words)
+
+
 class Bag:
-    """Texts as a sparse matrix over distinct words, and those words as a sparse matrix over buckets."""
+    """Texts as a sparse matrix over distinct words, and those words as one over the buckets that enough texts have: rare ones would only learn noise."""
 
-    def __init__(self, texts: list[str], least_texts: int):
+    def __init__(self, texts: list[Counts], least_texts: int):
         ids: dict[str, int] = {}
-        words, weights, self.doc_at = [], [], [0]
-        for t in texts:
-            count: dict[str, int] = {}
-            for w in _words(t):
-                count[w] = count.get(w, 0) + 1
-            n = max(1, sum(count.values()))
-            words.append(np.fromiter((ids.setdefault(w, len(ids)) for w in count), np.int32, len(count)))
-            weights.append(np.fromiter(count.values(), np.float32, len(count)) / n)
-            self.doc_at.append(self.doc_at[-1] + len(count))
-        self.word, self.weight, self.doc_at = np.concatenate(words), np.concatenate(weights), np.array(self.doc_at)
+        self.word = np.concatenate([np.fromiter((ids.setdefault(w, len(ids)) for w in held), np.int32, len(held)) for held, _, _ in texts])
+        self.weight = np.concatenate([np.array(n, np.float32) / max(1, total) for _, n, total in texts])
+        self.doc_at = np.concatenate([[0], np.cumsum([len(held) for held, _, _ in texts])]).astype(np.int64)
         parts = [np.array(subwords(w), np.int32) for w in ids]
-        self.bucket = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.word_at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-        held = np.zeros(BUCKETS, np.int32)  # texts that have a bucket: rare ones would only learn noise
+        self.pieces = np.array([len(x) for x in parts], np.float32)
+        bucket = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        word_at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        held = np.zeros(BUCKETS, np.int32)
         for k in range(len(texts)):
             own = self.word[self.doc_at[k] : self.doc_at[k + 1]]
-            held[np.unique(self.bucket[_ranges(self.word_at, own)[0]])] += 1
-        self.common = (held >= least_texts).astype(np.float32)
+            held[np.unique(bucket[_ranges(word_at, own)[0]])] += 1
+        self.common = np.flatnonzero(held >= least_texts)
+        number = np.full(BUCKETS, -1, np.int32)
+        number[self.common] = np.arange(len(self.common))
+        kept = number[bucket] >= 0
+        self.bucket = number[bucket[kept]]
+        self.word_at = np.concatenate([[0], np.cumsum(kept)])[word_at]
 
 
 def _ranges(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +99,13 @@ def _spread(index: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, x[:, d], n) for d in range(x.shape[1])], 1).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], prior: float, dims: int = 4, steps: int = 520, rate: float = 0.02, scale: float = 40.0, least_texts: int = 3, shrink: float = 0.015, batch: int = 128) -> dict:
+def train(texts: list[Counts], labels: list[int], prior: float, dims: int = 4, steps: int = 260, rate: float = 0.02, scale: float = 40.0, least_texts: int = 3, shrink: float = 0.015, batch: int = 128) -> dict:
     """The logit of class 1 that each bucket adds to a word's mean, and the bias. ``scale`` multiplies text vectors, so that a few words among many can turn the result at a usual step size."""
     rng = np.random.default_rng(7)
     y = np.array(labels)
     bag = Bag(texts, least_texts)
-    e = np.zeros((BUCKETS, dims), np.float32)
+    n = len(bag.common)
+    e = np.zeros((n, dims), np.float32)
     w = (rng.standard_normal((dims, 2)) * 0.3).astype(np.float32)
     bias = np.log(np.array([1 - y.mean(), y.mean()]) + 1e-9).astype(np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, bias)]
@@ -103,33 +118,43 @@ def train(texts: list[str], labels: list[int], prior: float, dims: int = 4, step
             words, local = np.unique(bag.word[flat], return_inverse=True)
             weight = bag.weight[flat][:, None] * scale
             sub, word_begin = _ranges(bag.word_at, words)
-            buckets = bag.bucket[sub]
-            pieces = np.diff(word_begin)
-            vectors = _sums(e[buckets], word_begin) / pieces[:, None]
+            buckets, pieces = bag.bucket[sub], bag.pieces[words][:, None]
+            vectors = _sums(e[buckets], word_begin) / pieces
             hidden = _sums(vectors[local] * weight, doc_begin)
             z = hidden @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(which)), y[which]] -= 1
             p /= len(which)
-            to_words = _spread(local, np.repeat(p @ w.T, np.diff(doc_begin), axis=0) * weight, len(words)) / pieces[:, None]
-            touched, inverse = np.unique(buckets, return_inverse=True)
-            to_buckets = _spread(inverse, np.repeat(to_words, pieces, axis=0), len(touched)) * bag.common[touched][:, None]
+            to_words = _spread(local, np.repeat(p @ w.T, np.diff(doc_begin), axis=0) * weight, len(words)) / pieces
+            to_buckets = _spread(buckets, np.repeat(to_words, np.diff(word_begin), axis=0), n)
+            touched = np.flatnonzero(np.bincount(buckets, minlength=n))
             step += 1
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for (m, v), param, g, rows in zip(state, (e, w, bias), (to_buckets, hidden.T @ p, p.sum(0)), (touched, slice(None), slice(None))):
+            for (m, v), param, g, rows in zip(state, (e, w, bias), (to_buckets[touched], hidden.T @ p, p.sum(0)), (touched, slice(None), slice(None))):
                 m[rows] = 0.9 * m[rows] + 0.1 * g
                 v[rows] = 0.999 * v[rows] + 0.001 * g * g
                 param[rows] -= rate * fix * m[rows] / (np.sqrt(v[rows]) + 1e-8)
             norm = np.linalg.norm(e[touched], axis=1, keepdims=True)
             e[touched] *= np.maximum(0, 1 - shrink / np.maximum(norm, 1e-9))  # group lasso: what only fits noise goes to 0
     shift = np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    bucket = ((e @ (w[:, 1] - w[:, 0])) * scale).astype(np.float32)
+    bucket = np.zeros(BUCKETS, np.float32)
+    bucket[bag.common] = (e @ (w[:, 1] - w[:, 0])) * scale
     return {"bucket": bucket, "bias": float(bias[1] - bias[0] + shift), "key": zlib.crc32(bucket.tobytes())}
 
 
-def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500, negatives: int = 4500) -> dict:
-    """``learn``: a boolean column over doc_id. The sample is drawn from the labels alone, then its bounded set of ids fetches the texts."""
+def _counted(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [word_counts(t, most) for t in b.column("text").to_pylist()]
+            columns = [pa.array([w for w, _, _ in held], pa.list_(pa.string())), pa.array([n for _, n, _ in held], pa.list_(pa.int64())), pa.array([t for _, _, t in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *columns], ["doc_id", "toxic", "words", "counts", "total"])
+
+    return run
+
+
+def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500, negatives: int = 4500, words_a_text: int = 4096) -> dict:
+    """``learn``: a boolean column over doc_id. The sample is drawn from the labels alone, then its bounded set of ids fetches the words."""
     own = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in own.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
@@ -139,9 +164,11 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003))
     share = lambda most, k: int(1_000_003 * min(1.0, most / n[k])) + 1
     some = own.where(F.when(F.col("toxic") > 0, h < share(positives, 1)).otherwise(h < share(negatives, 0))).limit(2 * (positives + negatives))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").limit(4 * (positives + negatives)).collect()
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"))), "doc_id")
+    counted = map_arrow(texts.select("doc_id", "toxic", "text"), _counted(words_a_text), "doc_id long, toxic long, words array<string>, counts array<long>, total long")
+    rows = counted.orderBy("doc_id", "total", "words").limit(4 * (positives + negatives)).collect()
     y = [int(r["toxic"] > 0) for r in rows]
-    return plain | train([r["text"] for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
+    return plain | train([(r["words"], r["counts"], r["total"]) for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
 
 
 def _scorer(model: dict):
