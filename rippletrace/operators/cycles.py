@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.operators.durable import durable
 from rippletrace.operators.reach import KERNEL_EDGES
+from rippletrace.plans import schema as S
 
 LARGE = 10
 
@@ -20,7 +21,8 @@ LARGE = 10
 def components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """file_id, scc (the least file of the component), only for components of more than one file."""
     links = edges.where("src != dst").select("src", "dst").distinct()
-    if links.limit(kernel_edges + 1).count() <= kernel_edges:
+    links = durable(links)  # counted, then read again
+    if links.count() <= kernel_edges:
         return links.groupBy().applyInPandas(_one_task, "file_id string, scc string")
     return _loop(links)
 
@@ -111,10 +113,8 @@ def _loop(links: DataFrame) -> DataFrame:
 def cycle_report(edges: DataFrame, kernel_edges: int = KERNEL_EDGES, shown: int = 10, preview: int = 5) -> DataFrame:
     """scc, size, files (sorted), shown_files, more, warning (for more than LARGE files, else null)."""
     groups = components(edges, kernel_edges).groupBy("scc").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("file_id")).alias("files"))
-    text = F.concat(
-        F.lit("Dependency cycle detected ("), F.col("size").cast("string"), F.lit(" files):\n  "), F.array_join(F.slice("files", 1, preview), " -> "), F.lit(" -> ...\n"),
-        F.lit("  These files will always be tested together, reducing TIA effectiveness.\n  Consider breaking the cycle to improve test isolation."),
-    )
+    head, middle, end = map(F.lit, S.CYCLE_WARNING)
+    text = F.concat(head, F.col("size").cast("string"), middle, F.array_join(F.slice("files", 1, preview), " -> "), end)
     return groups.select(
         "scc", "size", "files", F.slice("files", 1, shown).alias("shown_files"), F.greatest(F.col("size") - shown, F.lit(0)).alias("more"), F.when(F.col("size") > LARGE, text).alias("warning")
     )

@@ -48,8 +48,8 @@ def reached_states(
     sources = nodes.where("role = 'Source'").select("file_id")
     if allowed == [S.DIRECT] and max_depth == 1:
         return _one_hop(used, seeds, sources)
-    small = used.limit(kernel_edges + 1).count() <= kernel_edges
-    return _kernel(used, seeds, sources, S.VIEW in allowed, max_depth) if small else _loop(used, seeds, sources, S.VIEW in allowed, max_depth, max_rounds)
+    used = durable(used)  # what follows counts it and reads it again
+    return _kernel(used, seeds, sources, S.VIEW in allowed, max_depth) if used.count() <= kernel_edges else _loop(used, seeds, sources, S.VIEW in allowed, max_depth, max_rounds)
 
 
 def _one_hop(edges: DataFrame, seeds: DataFrame, sources: DataFrame) -> DataFrame:
@@ -125,14 +125,15 @@ def _loop(edges: DataFrame, seeds: DataFrame, sources: DataFrame, views: bool, m
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
-def first_visit(nodes: DataFrame, edges: DataFrame, changed: DataFrame, kinds: list[str] | None = None, max_depth: int = 1) -> DataFrame:
-    """STATES as a first-in first-out walk sees them: the first state of a file counts, by the ordinal of edges and seeds.
+def first_visit(nodes: DataFrame, edges: DataFrame, changed: DataFrame, kinds: list[str] | None = None, max_depth: int = 1, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """STATES as a first-in first-out walk sees them: the first state of a file counts, by the ordinal of edges and seeds
+    (of equal ones by file and kind).
 
-    For parity with tools that keep one state a file. It runs in one task and is for graphs that fit there."""
+    For parity with tools that keep one state a file. Up to ``kernel_edges`` edges one task walks; beyond, level by level."""
     allowed = allowed_edges(kinds)
-    e = edges.where(F.col("kind").isin(*allowed)).select(F.lit("e").alias("t"), F.col("src").alias("a"), F.col("dst").alias("b"), "kind", "ordinal")
-    if e.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
-        raise ValueError(f"first_visit is limited to {KERNEL_EDGES} edges; use the closure")
+    e = durable(edges.where(F.col("kind").isin(*allowed)).select(F.lit("e").alias("t"), F.col("src").alias("a"), F.col("dst").alias("b"), "kind", "ordinal"))
+    if e.count() > kernel_edges:
+        return _first_visit_loop(nodes, e, changed, S.VIEW in allowed, max_depth)
     none = F.lit(None).cast("string")
     order = F.col("ordinal") if "ordinal" in changed.columns else F.lit(0)
     s = changed.join(nodes, "file_id", "left_semi").select(F.lit("s").alias("t"), F.col("file_id").alias("a"), none.alias("b"), none.alias("kind"), order.cast("long").alias("ordinal"))
@@ -143,7 +144,7 @@ def first_visit(nodes: DataFrame, edges: DataFrame, changed: DataFrame, kinds: l
     def walk(t: pd.DataFrame) -> pd.DataFrame:
         from collections import deque
 
-        t = t.sort_values(["ordinal", "a"], kind="stable")
+        t = t.sort_values(["ordinal", "a", "b", "kind"], kind="stable")
         out: dict[str, list] = {}
         into: dict[str, list] = {}
         for row in t[t.t == "e"].itertuples():
@@ -175,6 +176,37 @@ def first_visit(nodes: DataFrame, edges: DataFrame, changed: DataFrame, kinds: l
     return e.unionByName(s).unionByName(r).groupBy().applyInPandas(walk, STATES)
 
 
+def _first_visit_loop(nodes: DataFrame, e: DataFrame, changed: DataFrame, views: bool, max_depth: int) -> DataFrame:
+    """The walk by levels: of the ways into a file that no level before has, the first counts, by the rank of the file it
+    comes from, edges out before edges against, ordinal. A level's files are sorted by that key and numbered in the order
+    of the sorted partitions, so no level is gathered in one task."""
+    out = e.select(F.col("a").alias("at"), F.col("b").alias("to"), "kind", "ordinal", F.lit(0).alias("phase"))
+    back = e.where(F.col("kind") == S.VIEW).select(F.col("b").alias("at"), F.col("a").alias("to"), F.lit("back").alias("kind"), "ordinal", F.lit(1).alias("phase"))
+    sources = nodes.where("role = 'Source'").select(F.col("file_id").alias("at"))
+    moves = durable((out.unionByName(back) if views else out).join(sources, "at", "left_semi"))
+
+    def numbered(level: DataFrame) -> DataFrame:
+        return durable(level.orderBy("key").select("file_id", "depth", "down", F.monotonically_increasing_id().alias("rank")))
+
+    order = F.col("ordinal") if "ordinal" in changed.columns else F.lit(0)
+    first = changed.join(nodes, "file_id", "left_semi").groupBy("file_id").agg(F.min(F.struct(order.cast("long"), "file_id")).alias("key"))
+    front = numbered(first.select("file_id", F.lit(0).alias("depth"), F.lit(False).alias("down"), "key"))
+    seen = front.drop("rank")
+    while True:
+        k = F.col("kind")
+        step = front.join(moves, F.col("file_id") == F.col("at")).where(((k != S.DIRECT) | (F.col("depth") < max_depth)) & ((k != S.VIEW) | ~F.col("down")))
+        way = F.struct("rank", "phase", "ordinal", "to", "kind")
+        state = F.struct(
+            F.when(k == S.DIRECT, F.col("depth") + 1).when(k == S.A11Y, 0).otherwise(F.col("depth")).alias("depth"),
+            F.when(k == S.VIEW, False).when(k == "back", True).otherwise(F.col("down")).alias("down"),
+        )
+        level = step.groupBy(F.col("to").alias("file_id")).agg(F.min_by(state, way).alias("s"), F.min(way).alias("key")).select("file_id", "s.*", "key")
+        front = numbered(level.join(seen, "file_id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = durable(seen.unionByName(front.drop("rank")))
+
+
 def affected_tests(nodes: DataFrame, states: DataFrame) -> DataFrame:
     """kind, file_id, target of the test files that were reached and are named like test classes."""
     hit = nodes.join(states.select("file_id").distinct(), "file_id", "left_semi").where("role != 'Source'").where(is_test_class(F.col("file_id")))
@@ -192,13 +224,18 @@ def method_hits(nodes: DataFrame, tests: DataFrame, keys: DataFrame) -> DataFram
     """file_id, methods (by declaration) of UI tests: those that query an impacted identifier, or name a type whose page
     object (a file with that name in its path) does. Files without such a method are left out: they run whole.
 
-    The page objects are first cut down to files with an impacted query, so the substring join sees few rows.
+    The page objects are first cut down to files with an impacted query. Of their paths all parts that are as long as a
+    type's name meet the names by value, so no pair of a page and a type is looked at that doesn't match.
     """
     ui = nodes.join(tests.where("kind = 'UITest'").select("file_id"), "file_id", "left_semi")
     methods = ui.select("file_id", F.posexplode("test_methods").alias("pos", "m")).select("file_id", "pos", F.col("m.name").alias("name"), F.col("m.a11y_queries").alias("q"), F.col("m.referenced_types").alias("types"))
     direct = methods.select("file_id", "pos", F.explode("q.key").alias("key")).join(keys, "key", "left_semi").select("file_id", "pos")
     pages = nodes.select(F.col("file_id").alias("page"), F.explode("a11y_queries.key").alias("key")).join(keys, "key", "left_semi").select("page").distinct()
-    types = methods.select(F.explode("types").alias("type")).distinct().join(pages, F.expr("contains(page, type)"), "left_semi")
+    types = durable(methods.select(F.explode("types").alias("type")).distinct())
+    lengths = [r["n"] for r in types.select(F.length("type").alias("n")).distinct().orderBy("n").collect()]  # as many as names have lengths
+    parts_of = lambda n: F.when(F.length("page") >= n, F.transform(F.sequence(F.lit(1), F.length("page") - n + 1), lambda i: F.substring("page", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = pages.select(F.explode(F.flatten(F.array(*map(parts_of, lengths)))).alias("type")).distinct() if lengths else types
+    types = types.join(parts, "type", "left_semi")
     through = methods.select("file_id", "pos", F.explode("types").alias("type")).join(types, "type", "left_semi").select("file_id", "pos")
     hits = methods.join(direct.unionByName(through).distinct(), ["file_id", "pos"], "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "name")))

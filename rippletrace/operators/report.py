@@ -36,6 +36,11 @@ def joined(rows: DataFrame, column: str, separator: str) -> str:
     return separator.join(r[0] for r in rows.orderBy("rank", "file_id", "pos").select(column).collect())
 
 
+def write_lines(rows: DataFrame, column: str, folder: str) -> None:
+    """The rows' text in their order as text files below ``folder``, sorted by the workers: for results that are too long for one string."""
+    rows.orderBy("rank", "file_id", "pos").select(column).write.mode("overwrite").text(folder)
+
+
 def json_files(result: DataFrame) -> DataFrame:
     """kind (lower case), files: the JSON array of {file, target, methods?} of that kind, by file."""
     whole = F.to_json(F.struct(F.col("file_id").alias("file"), "target"), {"ignoreNullFields": "false"})
@@ -70,6 +75,13 @@ def dot_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', "src", "dst", "kind").alias("line"))
 
 
+def dot_document(edges: DataFrame) -> DataFrame:
+    """line: the whole graph as a DOT document, in order of its lines."""
+    spark = edges.sparkSession
+    ends = spark.createDataFrame([(0, "digraph dependencies {"), (2, "}")], "part int, line string")
+    return ends.unionByName(dot_lines(edges).select(F.lit(1).alias("part"), "line")).orderBy("part", "line").select("line")
+
+
 def summary_text(meta: DataFrame) -> str:
     m = meta.first()
     return f"Files: {m['file_count']}\nEdges: {m['edge_count']}\nSources: {', '.join(m['data_sources_used'])}"

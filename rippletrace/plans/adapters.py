@@ -167,3 +167,36 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", "p_size", F.col("p_partkey") + 1, F.col("p_partkey") + 2, F.col("p_partkey") + 2, F.col("p_partkey") % 97, F.col("p_partkey") + 3, "p_size", "p_partkey", "p_partkey",
     )
     return p.select(F.concat(F.lit("Sources/P"), "p_partkey", F.lit(".swift")).alias("file_id"), text.alias("content"))
+
+
+def _marks_and_tests(p: DataFrame) -> DataFrame:
+    """file_id, content of files beside the parts' own: sources that assign identifiers (every third part), and UI tests with methods (every fourth)."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    marks = F.format_string(
+        'struct M%d: View {\n  func mark(_ v: UIView) { v.accessibilityIdentifier = "set_%d"; v.label.accessibilityIdentifier = Ids.k%d.identifier; app.buttons["q_%d"].tap() }\n}\n', k, k, size, k
+    )
+    tests = F.format_string(
+        'import XCTest\nfinal class P%dUITests: XCTestCase {\n  func testSet() { app.buttons["a11y_%d"].tap(); app.staticTexts[Ids.k%d.rawValue].exists; Page%d().open() }\n'
+        '  func testOther() { app.otherElements["y\\(n)"].tap(); Page%d() }\n  func helper() { app.buttons["set_%d"].tap() }\n}\n',
+        k, k % 97, size, size, k % 7, k + 3,
+    )
+    one = p.where(k % 3 == 0).select(F.concat(F.lit("Sources/Marks/M"), k, F.lit(".swift")).alias("file_id"), marks.alias("content"))
+    return one.unionByName(p.where(k % 4 == 0).select(F.concat(F.lit("App/AppUITests/P"), k, F.lit("UITests.swift")).alias("file_id"), tests.alias("content")))
+
+
+def marks_and_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marks_and_tests(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+
+
+def project_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, content of a whole project: the parts' sources, sources that assign identifiers, UI tests."""
+    return part_sources(spark, sf_dir).unionByName(marks_and_tests(spark, sf_dir))
+
+
+def project_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project before a change: some files read differently, some did not exist yet, some have gone since."""
+    now = project_sources(spark, sf_dir)
+    n = F.regexp_extract("file_id", r"[PM](\d+)", 1).cast("long")
+    other = F.when(n % 50 == 1, F.replace(F.replace("content", F.lit("let other: P"), F.lit("let other: P9")), F.lit("set_"), F.lit("was_"))).otherwise(F.col("content"))
+    gone = now.where(n % 90 == 0).select(F.concat(F.lit("Sources/Gone/"), F.regexp_extract("file_id", "[^/]+$", 0)).alias("file_id"), "content")
+    return now.where(n % 70 != 0).select("file_id", other.alias("content")).unionByName(gone)

@@ -49,7 +49,20 @@ def edges_of_parsed(parsed: DataFrame) -> DataFrame:
 
 def index_sources(files: DataFrame, inventory: DataFrame | None = None, root: str = "") -> tuple[DataFrame, DataFrame]:
     """nodes, edges from source texts (file_id, content)."""
-    parsed = extract_files(files)
+    return graph_of_parsed(extract_files(files), inventory, root)
+
+
+def update_parsed(parsed: DataFrame, files: DataFrame, inventory: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The parser's facts with those of changed, new and deleted files replaced; only changed and new files are parsed.
+
+    ``nodes`` has the content that the facts were made from. As all joins run over the facts again, the graph equals that of
+    a full index, edges between changed and unchanged files included."""
+    changed, deleted = G.changed_files(inventory, nodes), G.deleted_files(inventory, nodes)
+    return G.replace_facts(parsed, changed, extract_files(files.join(changed, "file_id", "left_semi")), deleted)
+
+
+def graph_of_parsed(parsed: DataFrame, inventory: DataFrame | None = None, root: str = "") -> tuple[DataFrame, DataFrame]:
+    """nodes, edges from the parser's facts."""
     nodes, edges = G.build_graph(nodes_of_parsed(parsed, root).withColumn("file_ordinal", F.lit(0)), edges_of_parsed(parsed))
     return (nodes if inventory is None else G.attach_hashes(nodes, inventory)), edges
 

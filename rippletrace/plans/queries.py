@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from rippletrace.operators import edges as E
 from rippletrace.operators import graph as G
 from rippletrace.operators import reach as R
 from rippletrace.operators import report as K
-from rippletrace.operators.durable import durable
+from rippletrace.operators.durable import durable, shared_folder
 from rippletrace.plans import adapters as A
+from rippletrace.plans import engine as N
 from rippletrace.plans import schema as S
 from rippletrace.sources import facts
 from rippletrace.sources.swift import extract_files
@@ -296,6 +299,46 @@ def extracted_facts(spark, sf_dir):
     )
 
 
+_M = "'Sources/Marks/M' || p_partkey || '.swift'"
+_T = "'App/AppUITests/P' || p_partkey || 'UITests.swift'"
+
+
+@query(
+    f"""SELECT {_M} AS file_id, 'Source' AS role, 'Literal:set_' || p_partkey || ',Symbolic:Ids.k' || p_size AS setters, 'Literal:q_' || p_partkey AS queries_, '' AS methods FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT {_T}, 'UITest', '', 'Literal:set_' || (p_partkey + 3), 'testSet(Literal:a11y_' || (p_partkey % 97) || ',Symbolic:Ids.k' || p_size || ')Page' || p_size || ';testOther()Page' || (p_partkey % 7) FROM part WHERE p_partkey % 4 = 0"""
+)
+def extracted_identifiers(spark, sf_dir):
+    """Identifiers that are assigned, looked up by accessors, and looked up by test methods."""
+    p = extract_files(A.marks_and_tests(spark, sf_dir))
+    shown = lambda ids: F.array_join(F.transform(ids, lambda i: F.concat(i["id_kind"], F.lit(":"), i["key"])), ",")
+    method = lambda m: F.concat(m["name"], F.lit("("), shown(m["a11y_queries"]), F.lit(")"), F.array_join(m["referenced_types"], ","))
+    return p.select("file_id", "role", shown(F.col("a11y_setters")).alias("setters"), shown(F.col("a11y_queries")).alias("queries_"), F.array_join(F.transform("test_methods", method), ";").alias("methods"))
+
+
+_P = lambda d: f"'Sources/P' || (p_partkey + {d}) || '.swift'"
+PROJECT = f"""WITH own AS (SELECT p_partkey FROM part),
+s AS (SELECT {_P(0)} AS f, 'a11y_' || (p_partkey % 97) AS k FROM part UNION ALL SELECT {_M}, 'set_' || p_partkey FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT {_M}, 'Ids.k' || p_size FROM part WHERE p_partkey % 3 = 0),
+q AS (SELECT {_T} AS f, 'a11y_' || (p_partkey % 97) AS k FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT {_T}, 'Ids.k' || p_size FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT {_T}, 'set_' || (p_partkey + 3) FROM part WHERE p_partkey % 4 = 0)
+SELECT {_P(1)} AS src, {_P(0)} AS dst, 'DirectReference' AS kind FROM part WHERE p_partkey + 1 IN (FROM own) UNION ALL SELECT {_P(3)}, {_P(0)}, 'DirectReference' FROM part WHERE p_partkey + 3 IN (FROM own)
+UNION ALL SELECT {_P(2)}, {_P(0)}, 'ViewEmbedding' FROM part, range(2) WHERE p_partkey + 2 IN (FROM own)
+UNION ALL SELECT DISTINCT s.f, q.f, 'AccessibilityBinding' FROM s JOIN q ON s.k = q.k"""
+
+
+@query(PROJECT)
+def index_full(spark, sf_dir):
+    """A project from its texts: parsing, all edge joins, known endpoints."""
+    return N.index_sources(A.project_sources(spark, sf_dir))[1]
+
+
+@query(PROJECT)
+def index_incremental(spark, sf_dir):
+    """The same project from the facts of an older state, of which only changed files are parsed: the edges are those of the full index."""
+    files, before = A.project_sources(spark, sf_dir), A.project_before(spark, sf_dir)
+    stored = durable(extract_files(before))  # as an index run leaves them
+    inventory = files.select("file_id", F.sha1("content").alias("blob_sha"))
+    return N.graph_of_parsed(N.update_parsed(stored, files, inventory, before.select("file_id", F.sha1("content").alias("content_hash"))), inventory)[1]
+
+
 # --- inventories and changes -----------------------------------------------------------------------------------
 
 INVENTORY = f"""ev AS (SELECT 'Src/U' || user_id || '.swift' AS file_id, ts, event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE md5(props) END AS sha FROM events),
@@ -385,12 +428,13 @@ def known_endpoints(spark, sf_dir):
     return E.known_endpoints(edges, nodes.where("role = 'Source'"))
 
 
-@query(f"{GRAPH} SELECT * FROM edges WHERE src NOT IN (SELECT file_id FROM changed) UNION ALL SELECT c.file_id, f.file_id, 'DirectReference' FROM changed c JOIN files f ON f.p_partkey % 50 = 2")
+@query(f"{GRAPH} SELECT * FROM edges WHERE src NOT IN (SELECT file_id FROM changed) UNION ALL SELECT x.file_id, y.file_id, 'DirectReference' FROM changed JOIN files x USING (file_id) JOIN files y ON y.p_partkey BETWEEN x.p_partkey + 1 AND x.p_partkey + 20")
 def incremental_update(spark, sf_dir):
     nodes, edges, changed = _light(spark, sf_dir)
-    to = A.part_files(spark, sf_dir).where("p_partkey % 50 = 2").select(F.col("file_id").alias("dst"))
-    unknown = to.limit(1).select(F.lit("Gone.swift").alias("dst"))
-    new = changed.select(F.col("file_id").alias("src"), F.lit(1).alias("one")).join(to.unionAll(unknown).withColumn("one", F.lit(1)), "one").select("src", "dst", F.lit(S.DIRECT).alias("kind"))
+    files = A.part_files(spark, sf_dir)
+    near = files.join(changed, "file_id", "left_semi").select(F.col("file_id").alias("src"), F.explode(F.sequence(F.col("p_partkey") + 1, F.col("p_partkey") + 20)).alias("p_partkey"))
+    new = near.join(files, "p_partkey").select("src", F.col("file_id").alias("dst")).unionByName(changed.select(F.col("file_id").alias("src"), F.lit("Gone.swift").alias("dst")))
+    new = new.withColumn("kind", F.lit(S.DIRECT))
     return G.update_incremental(nodes, edges, nodes.join(changed, "file_id", "left_semi"), new)[1]
 
 
@@ -410,6 +454,49 @@ def supplement(spark, sf_dir):
     return G.supplement(nodes, edges, nodes, parsed, ["indexstore"])[1]
 
 
+@query(f"{GRAPH}, {METHODS}, m AS (SELECT file_id, count(DISTINCT n) AS n FROM methods GROUP BY file_id) SELECT r.file_id, CASE WHEN role = 'Source' THEN 'n' || r.file_id ELSE '' END AS setter, 0::INT AS n_queries, coalesce(m.n, 0)::INT AS n_methods FROM roles r LEFT JOIN m USING (file_id)")
+def patched_identifiers(spark, sf_dir):
+    """A symbol-index graph takes the parser's identifiers where the parser knows the file; other files keep theirs."""
+    nodes, edges, _ = _graph(spark, sf_dir)
+    own = F.array(F.struct(F.lit("Literal").alias("id_kind"), F.concat(F.lit("n"), "file_id").alias("key")))
+    parsed = nodes.where("role = 'Source'").withColumn("a11y_setters", own).withColumn("a11y_queries", F.expr(N.EMPTY_IDENTIFIERS))
+    out = G.supplement(nodes, edges, parsed, edges, ["indexstore"])[0]
+    return out.select("file_id", F.array_join("a11y_setters.key", ",").alias("setter"), F.size("a11y_queries").alias("n_queries"), F.size("test_methods").alias("n_methods"))
+
+
+@query(f"WITH {FILES}, {ROLES} SELECT file_id, CASE WHEN p_partkey % 3 = 0 THEN 'UITest' ELSE role END AS role FROM roles")
+def built_nodes(spark, sf_dir):
+    """Of a file's nodes the first counts."""
+    files = A.part_files(spark, sf_dir)
+    node = lambda df, role, at: df.select("file_id", role.alias("role"), F.lit(at).alias("file_ordinal"))
+    nodes = node(files, P.role_of_path(F.col("file_id")), 1).unionByName(node(files.where("p_partkey % 3 = 0"), F.lit("UITest"), 0)).unionByName(node(files.where("p_partkey % 5 = 0"), F.lit("none"), 2))
+    return G.build_graph(nodes, A.part_edges(spark, sf_dir))[0]
+
+
+@query(
+    f"""WITH {FILES}, {DOTD}, inv AS (SELECT 'Sources/P' || p_partkey || '.swift' AS f, 'P' || p_partkey AS name FROM part UNION ALL SELECT 'Lib/P' || p_partkey || '.swift', 'P' || p_partkey FROM part WHERE p_partkey % 10 = 0),
+b AS (SELECT name, min(f) AS dst FROM inv GROUP BY name), e AS (SELECT b.dst, unnest(ln.inputs) AS src FROM ln JOIN b ON b.name = regexp_extract(ln.output, '([^/]+)[.]o$', 1)),
+d AS (SELECT src, dst FROM e WHERE suffix(src, '.swift') AND NOT contains(src, '/SDKs/') AND src <> dst AND src IN (SELECT f FROM inv)),
+every AS (SELECT file_id FROM files UNION SELECT src FROM d UNION SELECT dst FROM d) SELECT file_id, {ROLE} AS role FROM every"""
+)
+def makefile_nodes(spark, sf_dir):
+    """Ends of makefile edges that the graph doesn't know become nodes; the rest stay."""
+    nodes = N.nodes_of_paths(A.part_files(spark, sf_dir))
+    edges = facts.dependency_edges(facts.dependency_lines(A.dependency_files(spark, sf_dir)), A.dependency_inventory(spark, sf_dir))
+    return G.add_missing_nodes(nodes, N.nodes_of_paths(edges.select(F.explode(F.array("src", "dst")).alias("file_id")))).select("file_id", "role")
+
+
+@query(f"{GRAPH} SELECT src, dst, kind FROM edges")
+def stored_graph(spark, sf_dir):
+    """A graph that is saved and loaded again."""
+    nodes, edges, _ = _light(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/stored_{uuid.uuid4().hex}"
+    facts.save_graph(nodes, edges, G.metadata(nodes, edges, "/repo", ["tree-sitter"]), folder)
+    out = durable(facts.load_graph(spark, folder)[1].select("src", "dst", "kind"))
+    facts.remove(spark, folder)
+    return out
+
+
 # --- reachability ----------------------------------------------------------------------------------------------
 
 
@@ -464,6 +551,14 @@ def ui_methods(spark, sf_dir):
     return R.resolve(*_graph(spark, sf_dir), ["UITest"]).where("methods is not null").select("file_id", "methods")
 
 
+@query(f"{_reach('Unit')}, {TESTS} SELECT file_id FROM roles WHERE role = 'UnitTest' AND p_partkey % 4 = 0 AND file_id NOT IN (SELECT file_id FROM tests WHERE kind = 'Unit')")
+def missed_tests(spark, sf_dir):
+    """Failed tests that the selection left out."""
+    files = A.part_files(spark, sf_dir)
+    failed = files.where((P.role_of_path(F.col("file_id")) == "UnitTest") & (F.col("p_partkey") % 4 == 0))
+    return N.verify_selection(_tests(spark, sf_dir, ["Unit"]), failed)
+
+
 # --- cycles ----------------------------------------------------------------------------------------------------
 
 CLOSURE = f"""{GRAPH.replace("WITH", "WITH RECURSIVE")}, one AS (SELECT DISTINCT src, dst FROM edges),
@@ -479,8 +574,7 @@ def cycles(spark, sf_dir):
 
 
 @query(
-    f"""{CLOSURE} SELECT scc, files[1:10] AS shown_files, greatest(size - 10, 0) AS more, CASE WHEN size > 10 THEN 'Dependency cycle detected (' || size || ' files):' || chr(10) || '  ' || array_to_string(files[1:5], ' -> ') || ' -> ...' || chr(10)
- || '  These files will always be tested together, reducing TIA effectiveness.' || chr(10) || '  Consider breaking the cycle to improve test isolation.' END AS warning FROM report"""
+    f"""{CLOSURE} SELECT scc, files[1:10] AS shown_files, greatest(size - 10, 0) AS more, CASE WHEN size > 10 THEN '{S.CYCLE_WARNING[0]}' || size || '{S.CYCLE_WARNING[1]}' || array_to_string(files[1:5], ' -> ') || '{S.CYCLE_WARNING[2]}' END AS warning FROM report"""
 )
 def cycle_warnings(spark, sf_dir):
     return C.cycle_report(A.part_edges(spark, sf_dir)).select("scc", "shown_files", "more", "warning")
@@ -496,6 +590,13 @@ def format_list(spark, sf_dir):
     return K.list_lines(R.resolve(*_graph(spark, sf_dir))).select("line")
 
 
+@query(f"""{RESULT} SELECT CASE kind WHEN 'Unit' THEN 0 WHEN 'Snapshot' THEN 1 ELSE 2 END AS rank, file_id, i AS pos, concat_ws('/', target, {CLASS}, ms[i + 1]) AS line
+ FROM (SELECT *, coalesce(methods, [NULL]) AS ms, unnest(range(len(coalesce(methods, [NULL])))) AS i FROM result)""")
+def report_order(spark, sf_dir):
+    """What orders the lines of a report: kind, file, declaration of the method."""
+    return K.list_lines(R.resolve(*_graph(spark, sf_dir)))
+
+
 @query(f"{RESULT} SELECT '-only-testing:' || concat_ws('/', target, {CLASS}, m) AS flag FROM (SELECT *, unnest(coalesce(methods, [NULL])) AS m FROM result WHERE target IS NOT NULL)")
 def format_xcodebuild(spark, sf_dir):
     return K.xcodebuild_flags(R.resolve(*_graph(spark, sf_dir))).select("flag")

@@ -135,4 +135,6 @@ DECLARATIVE_NAMES = (
     "AnyPublisher", "AnyCancellable", "Cancellable", "PassthroughSubject", "CurrentValueSubject", "Future",
     "XCTestCase", "XCTestExpectation", "XCTAssert", "XCUIApplication", "XCUIElement", "XCUIElementQuery",
 )
+# The text of the warning about a large cycle, before and after its first files.
+CYCLE_WARNING = ("Dependency cycle detected (", " files):\n  ", " -> ...\n  These files will always be tested together, reducing TIA effectiveness.\n  Consider breaking the cycle to improve test isolation.")
 BUILTIN_NAMES = frozenset((*AMBIGUOUS_NAMES, *LANGUAGE_NAMES, *FOUNDATION_NAMES, *TOOLKIT_NAMES, *DECLARATIVE_NAMES))

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
+import os
 import subprocess
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.functions.paths import is_source_file, is_skipped_tracked, is_skipped_walked, module_of, relative_to, stem
 from rippletrace.functions.paths import contains_any
+from rippletrace.functions.symbols import repository_slug
 from rippletrace.plans import schema as S
 
 
@@ -30,8 +35,23 @@ def _git(root: str, *args: str) -> str:
 
 
 def find_root(start: str) -> str:
-    """The repository that holds a folder."""
-    return _git(start, "rev-parse", "--show-toplevel").strip()
+    """The repository that holds a folder; without version control the folder itself."""
+    try:
+        return _git(start, "rev-parse", "--show-toplevel").strip()
+    except (OSError, subprocess.CalledProcessError):
+        return os.path.realpath(start)
+
+
+def current_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """file_id, blob_sha of the source files: those of version control, or, where that fails, those that a walk finds, with the same content ids computed."""
+    try:
+        return tracked_inventory(spark, root)
+    except (OSError, subprocess.CalledProcessError) as e:
+        logging.getLogger("rippletrace").warning("no version control (%s): walking the folder", e)
+        files = walked_inventory(spark, root)
+        body = F.col("content").cast("binary")
+        head = F.concat(F.lit("blob "), F.octet_length("content").cast("string")).cast("binary")
+        return files.select("file_id", F.sha1(F.concat(head, F.unhex(F.lit("00")), body)).alias("blob_sha"))
 
 
 def tracked_inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -55,9 +75,36 @@ def walked_inventory(spark: SparkSession, root: str) -> DataFrame:
 # --- changes ---------------------------------------------------------------------------------------------------
 
 
-def changed_since(spark: SparkSession, root: str, base: str) -> DataFrame:
-    """file_id of source files that differ between the merge base with ``base`` and the working tree; a rename counts with both names."""
-    merge_base = _git(root, "merge-base", base, "HEAD").strip()
+def compare_request(slug: str, base: str, head: str) -> str:
+    """The code host's JSON answer to a comparison of two commits."""
+    from urllib.request import Request, urlopen
+
+    token = os.environ.get("GITHUB_TOKEN")
+    headers = {"Accept": "application/vnd.github+json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    with urlopen(Request(f"https://api.github.com/repos/{slug}/compare/{base}...{head}", headers=headers), timeout=60) as answer:
+        return answer.read().decode()
+
+
+def changed_by_review(spark: SparkSession, root: str, base: str, request: Callable[[str, str, str], str] = compare_request) -> DataFrame:
+    """file_id of the source files that the code host lists between ``base`` and HEAD."""
+    url = spark.createDataFrame([(_git(root, "remote", "get-url", "origin").strip(),)], "url string")
+    slug = url.select(repository_slug(F.col("url"))).first()[0]
+    if not slug:
+        raise ValueError("the remote names no repository of the code host")
+    text = request(slug, base.removeprefix("origin/"), _git(root, "rev-parse", "HEAD").strip())
+    return paths_of_review(spark.createDataFrame([(text,)], "json string"))
+
+
+def changed_since(spark: SparkSession, root: str, base: str, request: Callable[[str, str, str], str] = compare_request) -> DataFrame:
+    """file_id of source files that differ between the merge base with ``base`` and the working tree; a rename counts with both names.
+
+    A shallow clone on a build machine (CI is set) may have no merge base; there the code host is asked."""
+    try:
+        merge_base = _git(root, "merge-base", base, "HEAD").strip()
+    except subprocess.CalledProcessError:
+        if "CI" not in os.environ or _git(root, "rev-parse", "--is-shallow-repository").strip() != "true":
+            raise
+        return changed_by_review(spark, root, base, request)
     fields = iter(_git(root, "diff", "--name-status", "-M", "-z", merge_base).split("\0"))
     rows = []
     for status in fields:
@@ -93,12 +140,6 @@ def parse_index_output(text: str) -> dict:
     return json.loads(text[: text.rindex("}") + 1])
 
 
-def index_nodes(pairs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """file_id of all endpoints that the inventory doesn't list."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("file_id")).distinct()
-    return ends.join(inventory, "file_id", "left_anti")
-
-
 def newest_store(stores: DataFrame, project: str) -> DataFrame:
     """path of the store (name, path, mtime) of a project, whose name begins a store's: the newest one."""
     own = stores.where((F.col("name") == project) | F.col("name").startswith(project + "-"))
@@ -159,23 +200,59 @@ def dependency_edges(lines: DataFrame, inventory: DataFrame, root: str = "") ->
 STORE_ORDER = ("indexstore", "tree-sitter")
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, meta: DataFrame, folder: str) -> str:
-    """Writes nodes, edges (by kind, so that a query reads the kinds it may follow) and metadata below folder/graph-<first source>."""
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    fs, at = _files(spark, folder)
+    fs.delete(at, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions of a saved graph, oldest first: a version is whole once its metadata, written last, is."""
+    fs, at = _files(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    return [f"{path}/{n}" for n in names if n.startswith("v=") and fs.exists(_files(spark, f"{path}/{n}/metadata/_SUCCESS")[1])]
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, meta: DataFrame, folder: str, parsed: DataFrame | None = None) -> str:
+    """Writes nodes, edges (by kind, so that a query reads the kinds it may follow), the parser's facts and metadata below
+    folder/graph-<first source>, as a new version; older ones go only when it is whole. So a graph may be read from the
+    store that it is saved to, and a run that fails leaves the last one."""
+    spark = nodes.sparkSession
     sources = meta.first()["data_sources_used"]
     path = f"{folder}/graph-{sources[0] if sources else 'unknown'}"
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
-    meta.write.mode("overwrite").parquet(f"{path}/metadata")
-    return path
+    version = f"{path}/v={time.time_ns():020d}"
+    nodes.write.parquet(f"{version}/nodes")
+    edges.write.partitionBy("kind").parquet(f"{version}/edges")
+    if parsed is not None:
+        parsed.write.parquet(f"{version}/parsed")
+    meta.write.parquet(f"{version}/metadata")
+    for old in _versions(spark, path)[:-1]:
+        remove(spark, old)
+    return version
+
+
+def saved_version(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the preferred saved graph, or None."""
+    return next((v[-1] for v in (_versions(spark, f"{folder}/graph-{name}") for name in STORE_ORDER) if v), None)
 
 
 def load_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """nodes, edges, metadata of the preferred saved graph, or None. Nodes without a module get the one of their path."""
-    for name in STORE_ORDER:
-        path = f"{folder}/graph-{name}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            nodes = spark.read.parquet(f"{path}/nodes")
-            nodes = nodes.withColumn("module", F.coalesce("module", module_of(F.col("file_id"))))
-            return nodes, spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/metadata")
-    return None
+    path = saved_version(spark, folder)
+    if path is None:
+        return None
+    nodes = spark.read.parquet(f"{path}/nodes")
+    nodes = nodes.withColumn("module", F.coalesce("module", module_of(F.col("file_id"))))
+    return nodes, spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/metadata")
+
+
+def load_parsed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The parser's facts of the preferred saved graph, or None."""
+    path = saved_version(spark, folder)
+    fs, at = _files(spark, f"{path}/parsed")
+    return spark.read.parquet(f"{path}/parsed") if path and fs.exists(at) else None

@@ -19,6 +19,7 @@ An identifier is a literal (one line, not empty, no interpolation) or a dotted p
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -460,11 +461,16 @@ def parse(file_id: str, source: str) -> dict:
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """PARSED rows of files (file_id, content); null content is an empty file."""
+    """PARSED rows of files (file_id, content); null content is an empty file. A file that can't be parsed is logged and left out."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [parse(i, c or "") for i, c in zip(part.file_id, part.content)]
+            rows = []
+            for i, c in zip(part.file_id, part.content):
+                try:
+                    rows.append(parse(i, c or ""))
+                except Exception as e:  # whatever it is, the other files count
+                    logging.getLogger("rippletrace").warning("%s is left out: %r", i, e)
             yield pd.DataFrame(rows, columns=[f.name for f in S.PARSED.fields])
 
     return files.select("file_id", "content").mapInPandas(run, S.PARSED)

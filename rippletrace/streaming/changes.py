@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def latest_events(events: DataFrame) -> DataFrame:
-    """One row a file: its last event (file_id, ts, blob_sha, deleted)."""
-    return events.groupBy("file_id").agg(F.max_by(F.struct("blob_sha", "deleted"), "ts").alias("r"), F.max("ts").alias("ts")).select("file_id", "ts", "r.*")
+    """One row a file: its last event (file_id, ts, blob_sha, deleted). Of events at one time a deletion counts last, else the greatest content."""
+    return events.groupBy("file_id").agg(F.max(F.struct("ts", "deleted", "blob_sha")).alias("r")).select("file_id", "r.ts", "r.blob_sha", "r.deleted")
 
 
 def merge_inventory(inventory: DataFrame, events: DataFrame) -> DataFrame:
