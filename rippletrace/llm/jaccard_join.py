@@ -234,7 +234,7 @@ class Classes:
         """root, p: the document that names each class (doc_id, nulls last, then its set and place)."""
         first = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("fp").alias("set"), "key", "pos", "doc_id")
         of_set = self.rows.where("n > 0").groupBy("fp").agg(F.min(first).alias("p"))
-        self.named = durable(_rooted(of_set, self.roots))
+        self.named = _rooted(of_set, self.roots)
         return grouped(self.named, "root", F.min("p").alias("p"))
 
 
@@ -261,8 +261,7 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
     other = lists.where("c between 3 and %d" % short).select(col("key").alias("k"), col("fp").alias("o_fp"), col("n").alias("o_n"), col("pos").alias("o_pos"))
     within = lists.where("c between 3 and %d" % short).join(other, (col("key") == col("k")) & (col("fp") < col("o_fp"))).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
     seen = durable(_pairs(with_head, "p_fp").unionByName(_pairs(within, "o_fp")).distinct())
-    links = durable(links.unionByName(_verified(seen, sets)))
-    roots = components(links)
+    roots = components(links.unionByName(_verified(seen, sets)))
 
     # A set's draw on a list, in [0, 1): below ``done`` / c it has been a centre there.
     draw = F.pmod(F.xxhash64("key", "fp"), F.lit(1 << 40)) / float(1 << 40)
@@ -285,9 +284,8 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
         more = durable(_pairs(more, "o_fp").join(seen, ["a", "b"], "left_anti"))
         seen = seen.unionByName(more)
         found = durable(_verified(more, sets))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+        if not found.isEmpty():  # the stars so far stand for all links so far
+            roots = components(roots.select(col("node").alias("a"), col("root").alias("b")).unionByName(found))
         long = long.drop("root", "r1")
     return Classes(chunks, listed.where("kind = 3").select("doc_id", "fp", "n", "key", "pos"), roots)
 

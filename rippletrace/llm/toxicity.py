@@ -45,17 +45,18 @@ def _words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-Counts = tuple[list[str], list[int], int]
+#: Distinct words with a space between, their counts (32 bits each), the number of all words.
+Counts = tuple[str, bytes, int]
 
 
 def word_counts(text: str, most: int) -> Counts:
-    """Distinct words and their counts, ``most`` of them by hash, and the number of all words."""
+    """``most`` of the distinct words, by hash."""
     words = _words(text)
     count: dict[str, int] = {}
     for w in words:
         count[w] = count.get(w, 0) + 1
     held = count if len(count) <= most else sorted(count, key=lambda w: (zlib.crc32(w.encode()), w))[:most]
-    return list(held), [count[w] for w in held], len(words)
+    return " ".join(held), np.array([count[w] for w in held], np.int32).tobytes(), len(words)
 
 
 class Bag:
@@ -63,9 +64,9 @@ class Bag:
 
     def __init__(self, texts: list[Counts], least_texts: int):
         ids: dict[str, int] = {}
-        self.word = np.concatenate([np.fromiter((ids.setdefault(w, len(ids)) for w in held), np.int32, len(held)) for held, _, _ in texts])
-        self.weight = np.concatenate([np.array(n, np.float32) / max(1, total) for _, n, total in texts])
-        self.doc_at = np.concatenate([[0], np.cumsum([len(held) for held, _, _ in texts])]).astype(np.int64)
+        self.word = np.concatenate([np.array([ids.setdefault(w, len(ids)) for w in held.split()], np.int32) for held, _, _ in texts])
+        self.weight = np.concatenate([np.frombuffer(n, np.int32).astype(np.float32) / max(1, total) for _, n, total in texts])
+        self.doc_at = np.concatenate([[0], np.cumsum([len(n) // 4 for _, n, _ in texts])]).astype(np.int64)
         parts = [np.array(subwords(w), np.int32) for w in ids]
         self.pieces = np.array([len(x) for x in parts], np.float32)
         bucket = np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -147,7 +148,7 @@ def _counted(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [word_counts(t, most) for t in b.column("text").to_pylist()]
-            columns = [pa.array([w for w, _, _ in held], pa.list_(pa.string())), pa.array([n for _, n, _ in held], pa.list_(pa.int64())), pa.array([t for _, _, t in held], pa.int64())]
+            columns = [pa.array([w for w, _, _ in held], pa.string()), pa.array([n for _, n, _ in held], pa.binary()), pa.array([t for _, _, t in held], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *columns], ["doc_id", "toxic", "words", "counts", "total"])
 
     return run
@@ -165,10 +166,10 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn, positives: int = 1500
     share = lambda most, k: int(1_000_003 * min(1.0, most / n[k])) + 1
     some = own.where(F.when(F.col("toxic") > 0, h < share(positives, 1)).otherwise(h < share(negatives, 0))).limit(2 * (positives + negatives))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic"))), "doc_id")
-    counted = map_arrow(texts.select("doc_id", "toxic", "text"), _counted(words_a_text), "doc_id long, toxic long, words array<string>, counts array<long>, total long")
+    counted = map_arrow(texts.select("doc_id", "toxic", "text"), _counted(words_a_text), "doc_id long, toxic long, words string, counts binary, total long")
     rows = counted.orderBy("doc_id", "total", "words").limit(4 * (positives + negatives)).collect()
     y = [int(r["toxic"] > 0) for r in rows]
-    return plain | train([(r["words"], r["counts"], r["total"]) for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
+    return plain | train([(r["words"], bytes(r["counts"]), r["total"]) for r in rows], y, prior) if 0 < sum(y) < len(y) else plain
 
 
 def _scorer(model: dict):
