@@ -68,8 +68,10 @@ def source_inventory(listing: DataFrame) -> DataFrame:
 def walked_inventory(spark: SparkSession, root: str) -> DataFrame:
     """file_id, content of the source files below a folder, where there is no version control."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.swift").load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    return files.where(~is_skipped_walked(path)).select(relative_to(path, root).alias("file_id"), F.col("content").cast("string").alias("content"))
+    files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").cast("string").alias("content"))
+    empty = [(p, "") for folder, _, names in os.walk(root) for n in names if n.endswith(".swift") and not os.path.getsize(p := os.path.join(folder, n))]  # a scan passes over empty files
+    files = files.unionByName(spark.createDataFrame(empty, "path string, content string")) if empty else files
+    return files.where(~is_skipped_walked(F.col("path"))).select(relative_to(F.col("path"), root).alias("file_id"), "content")
 
 
 # --- changes ---------------------------------------------------------------------------------------------------

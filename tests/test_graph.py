@@ -9,7 +9,8 @@ from rippletrace.operators import edges as E
 from rippletrace.operators import graph as G
 from rippletrace.plans import engine as N
 from rippletrace.plans import schema as S
-from rippletrace.sources import facts
+from rippletrace.plans.fact_sources import MakefileSource, ParsedSource, SymbolIndexSource
+from rippletrace.sources import facts, swift, symbol_store
 from rippletrace.sources.swift import parse, role_of
 from rippletrace.streaming import changes
 
@@ -141,6 +142,12 @@ def test_store(spark, tmp_path):
         facts.save_graph(nodes.withColumn("module", F.lit(None).cast("string")), edges, G.metadata(nodes, edges, "/r", [name]), str(tmp_path))
     n, e, m = facts.load_graph(spark, str(tmp_path))
     assert m.first()["data_sources_used"] == ["indexstore"] and {r.module for r in n.collect()} == {"Foo", None} and e.count() == 2
+    assert facts.load_parsed(spark, str(tmp_path)) is None
+    # A graph may be saved to the store that it is read from; a version without metadata isn't whole.
+    facts.save_graph(n, e.unionByName(e), m, str(tmp_path))
+    assert facts.load_graph(spark, str(tmp_path))[1].count() == 4 and len(list((tmp_path / "graph-indexstore").iterdir())) == 1
+    nodes.write.parquet(str(tmp_path / "graph-indexstore/v=99999999999999999999/nodes"))
+    assert facts.load_graph(spark, str(tmp_path))[1].count() == 4
 
 
 def test_newest_store(spark):
@@ -202,13 +209,13 @@ class Not {}
 
 def test_stream_of_changes(spark, tmp_path):
     schema = "file_id string, ts long, blob_sha string, deleted boolean"
-    spark.createDataFrame([("A", 1, "a", False), ("B", 1, "b", False), ("A", 2, "a2", False), ("B", 3, None, True)], schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("A", 1, "a", False), ("B", 1, "b", False), ("A", 2, "a2", False), ("B", 3, None, True), ("A", 2, "a1", False), ("C", 4, None, True), ("C", 4, "c", False)], schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     changes.maintain_inventory(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()] == [("A", "a2")]
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, monkeypatch):
     import subprocess
 
     from rippletrace.__main__ import main
@@ -228,5 +235,129 @@ def test_command_line(spark, tmp_path):
     assert main([*at, "resolve", "--base", "main"], spark) == "AppUITests/PayUITests/testPay"
     assert main([*at, "resolve", "--base", "main", "--kind", "ui", "--format", "xcodebuild"], spark) == "-only-testing:AppUITests/PayUITests/testPay"
     assert "Dependents: 4" in main([*at, "graph", "--file", "A.swift"], spark) and main([*at, "graph", "--cycles"], spark) == "No dependency cycles detected."
+    (tmp_path / "failed").write_text("App/AppUITests/PayUITests.swift\nOther.swift\n")
+    assert main([*at, "verify", "--base", "main", "--failed", str(tmp_path / "failed")], spark) == "Failed but not selected:\nOther.swift"
+    assert main([*at, "graph", "--dot", str(tmp_path / "dot")], spark) == ""
+    dot = [r.value for r in spark.read.text(str(tmp_path / "dot")).collect()]
+    assert dot[0] == "digraph dependencies {" and dot[-1] == "}" and len(dot) == 6
     git("commit", "-qam", "two")
     assert main([*at, "index"], spark).startswith("Files: 3") and main([*at, "graph"], spark).startswith("Files: 3")
+    # Only what changed is parsed, and the graph is that of a full index: a changed, a new and a deleted file.
+    (root / "A.swift").write_text("struct Other {}")
+    (root / "C.swift").write_text("let c: Child? = nil\nstruct Child {}")
+    (root / "App/AppUITests/PayUITests.swift").unlink()
+    git("add", "-A")
+    parsed = []
+    full, old = swift.extract_files, engine_parse(parsed)
+    monkeypatch.setattr(N, "extract_files", old)
+    assert main([*at, "index"], spark) == "Files: 3\nEdges: 3\nSources: tree-sitter"
+    assert set(parsed) == {"A.swift", "C.swift"}
+    monkeypatch.setattr(N, "extract_files", full)
+    rows = lambda: sorted(map(tuple, facts.load_graph(spark, str(tmp_path / "store"))[1].collect()))
+    now = rows()
+    assert main([*at, "index", "--force"], spark) == "Files: 3\nEdges: 3\nSources: tree-sitter" and rows() == now
+
+
+def engine_parse(seen):
+    """extract_files that notes what it is given."""
+
+    def run(files):
+        seen.extend(r.file_id for r in files.select("file_id").collect())
+        return swift.extract_files(files)
+
+    return run
+
+
+def test_a_broken_file_is_left_out(spark, monkeypatch):
+    files = spark.createDataFrame([("A.swift", "struct A {}"), ("B.swift", "\ud800x".encode("utf-16", "surrogatepass").decode("utf-16", "replace")), ("C.swift", None), (None, "struct D {}")], "file_id string, content string")
+    got = {r.file_id: r.defines for r in swift.extract_files(files).collect()}
+    assert got == {"A.swift": ["A"], "B.swift": [], "C.swift": []}
+
+
+def test_without_version_control(spark, tmp_path):
+    """A folder without version control is walked; contents have the ids that version control would give them."""
+    import subprocess
+
+    for name in ("plain", "repo"):
+        (tmp_path / name / "build").mkdir(parents=True)
+        (tmp_path / name / "A.swift").write_text("let é = 1\n")
+        (tmp_path / name / "B.swift").write_text("")
+        (tmp_path / name / "build/C.swift").write_text("x")
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "repo"), *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "A.swift", "B.swift")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert facts.find_root(str(tmp_path / "plain")) == str(tmp_path / "plain")
+    assert rows(facts.current_inventory(spark, str(tmp_path / "plain"))) == rows(facts.current_inventory(spark, str(tmp_path / "repo")))
+
+
+def test_changes_of_a_shallow_clone(spark, tmp_path, monkeypatch):
+    """Without a merge base a build machine asks the code host; elsewhere that is an error."""
+    import subprocess
+
+    git = lambda at, *a: subprocess.run(["git", "-C", str(at), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir()
+    git(one, "init", "-q", "-b", "main")
+    for k in "ab":
+        (one / f"{k}.swift").write_text(k)
+        git(one, "add", ".")
+        git(one, "commit", "-qm", k)
+    git(one, "checkout", "-q", "--orphan", "other")
+    git(one, "commit", "-qm", "apart")
+    subprocess.run(["git", "clone", "-q", "--depth", "1", "--no-single-branch", f"file://{one}", str(two)], check=True, capture_output=True)
+    git(two, "remote", "set-url", "origin", "git@github.com:own/er.git")
+    asked = []
+
+    def request(*what):
+        asked.append(what)
+        return '{"files": [{"filename": "a.swift"}, {"filename": "Pods/x.swift"}, {"filename": "x/Pods/y.swift"}, {"status": "x"}, {"filename": "r.md"}]}'
+
+    monkeypatch.delenv("CI", raising=False)
+    with pytest.raises(subprocess.CalledProcessError):
+        facts.changed_since(spark, str(two), "origin/main", request)
+    monkeypatch.setenv("CI", "1")
+    assert sorted(r.file_id for r in facts.changed_since(spark, str(two), "origin/main", request).collect()) == ["Pods/x.swift", "a.swift"]
+    assert asked[0][:2] == ("own/er", "main") and len(asked[0][2]) == 40
+
+
+def test_symbol_stores_and_their_helper(spark, tmp_path):
+    """The newest store by name, else one in the repository; the helper's lists and output."""
+    import os
+
+    root, home = tmp_path / "App", tmp_path / "home"
+    root.mkdir()
+    assert symbol_store.find_store(spark, str(root), str(home)) is None
+    local = root / "DerivedData/Index.noindex/DataStore"
+    local.mkdir(parents=True)
+    assert symbol_store.find_store(spark, str(root), str(home)) == str(local)
+    for name, at in (("App-1", 5), ("App-2", 9), ("Application-3", 20)):
+        store = home / symbol_store.HOME_STORES / name / symbol_store.STORE
+        store.mkdir(parents=True)
+        os.utime(store, (at, at))
+    assert "App-2" in symbol_store.find_store(spark, str(root), str(home))
+    helper = tmp_path / "index-helper"
+    helper.write_text('#!/bin/sh\ntest "$3 $4" = "--repo-root $0.root" && exit 3\nf=$(head -n 1 "$6")\ntest -n "$8" && s=$(tail -n 1 "$8")\necho "{\\"edges\\": [{\\"from\\": \\"$f\\", \\"to\\": \\"${s:-none}\\"}]} done"\n')
+    helper.chmod(0o755)
+    assert symbol_store.find_helper(str(helper)) == str(helper)
+    with pytest.raises(FileNotFoundError):
+        symbol_store.find_helper(str(tmp_path / "no"))
+    rows = lambda *a: [tuple(r) for r in symbol_store.run_helper(spark, str(helper), "/s", *a).collect()]
+    assert rows("/r", ["A.swift", "B.swift"]) == [("A.swift", "none")] and rows("/r", ["A.swift"], ["A.swift", "Z.swift"]) == [("A.swift", "Z.swift")]
+    with pytest.raises(RuntimeError):
+        rows(f"{helper}.root", ["A.swift"])
+
+
+def test_fact_sources(spark, tmp_path):
+    inv = spark.createDataFrame([("A.swift", "1"), ("B.swift", "2")], "file_id string, blob_sha string")
+    (tmp_path / "x.d").write_text("/b/A.o : B.swift\n")
+    pairs = spark.createDataFrame([("A.swift", "B.swift"), ("/usr/x", "B.swift")], "`from` string, `to` string")
+    sources = [ParsedSource(spark.createDataFrame(SOURCES, "file_id string, content string")), SymbolIndexSource(pairs, inv), MakefileSource(str(tmp_path), inv)]
+    got = {s.name: s.read(spark) for s in sources}
+    assert {k: (n.count(), e.count()) for k, (n, e) in got.items()} == {"tree-sitter": (3, 4), "indexstore": (2, 1), "dot-d": (2, 1)}
+    assert all({"file_id", "role", "module"} <= set(n.columns) and e.columns == ["src", "dst", "kind"] for n, e in got.values())
+
+
+def test_verify_selection(spark):
+    selected = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "x")], "file_id string, kind string")
+    assert sorted(r.file_id for r in N.verify_selection(selected, ids(spark, ["A", "C", "C", "D"])).collect()) == ["C", "D"]

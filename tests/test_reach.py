@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rippletrace.operators import cycles as C
 from rippletrace.operators import reach as R
@@ -96,7 +97,10 @@ def test_ways_agree_and_cover_the_walk(spark, seed):
     rows = lambda df: {tuple(r) for r in df.collect()}
     assert rows(R.reached_states(*g)) == want
     assert rows(R.reached_states(*g, kernel_edges=0)) == want
+    nodes_, edges_, changed = g
     assert {r.file_id for r in R.first_visit(*g).collect()} <= {x[0] for x in want}
+    same = edges_.withColumn("ordinal", F.xxhash64("src", "dst", "kind") % 5)
+    assert rows(R.first_visit(nodes_, same, changed, kernel_edges=0)) == rows(R.first_visit(nodes_, same, changed))
 
 
 @pytest.mark.parametrize("kernel", [R.KERNEL_EDGES, 0])
