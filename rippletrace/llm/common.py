@@ -37,6 +37,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def grouped(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     """df.groupBy(key).agg(*aggregates), to be joined by the key.
 
