@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and is written as Parquet before
 the next one reads it, so a lost executor costs at most one stage's tasks. All stages but the last return the columns
-of ``documents``.
+of ``documents``. A stage's table goes when the next one's is written; that of the last but one stays in the shared
+folder, as the result reads it.
 
 toxicity          rows scored toxic go
 near_duplicates   one row of each class of near duplicates stays
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm.common import documents, shared_folder
+from rippletrace.llm.common import documents, remove, shared_folder
 from rippletrace.llm.decontaminate import without_leaks
 from rippletrace.llm.jaccard_join import one_of_each_class
 from rippletrace.llm.packing import harmonic_packing
@@ -61,7 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/pipeline_{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
