@@ -31,10 +31,12 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(alias)))
 
 
-def normalised(line: Column) -> Column:
-    """White space runs become one space, none at the ends; lower case."""
-    spaces = F.trim(F.translate(line, "\t\n\x0b\x0c\r", "     "))
-    return F.lower(F.when(spaces.contains("  "), F.regexp_replace(spaces, " {2,}", " ")).otherwise(spaces))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text, each in lower case, with one space for a run of white space and none at the ends.
+
+    All but the split works on the whole text at once: a lambda over lines would be interpreted, line by line."""
+    spaces = F.regexp_replace(F.lower(F.translate(text, "\t\x0b\x0c\r", "    ")), " {2,}", " ")
+    return F.split(F.trim(F.replace(F.replace(spaces, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))), "\n")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WS_CLASS.replace("[", "[^")))
     df = df.select(
         "doc_id", "host", "text",
         F.xxhash64("text").alias("text_hash"),
@@ -72,14 +74,13 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: key of the document's row, place and hash of the normalised line, its words."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    df = df.select("doc_id", "host", "text_hash", "place", normalised(F.col("line")).alias("line")).where("line != ''")
+    df = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_hash"), F.posexplode(normal_lines(text)).alias("place", "line")).where("line != ''")
     return df.select("doc_id", "host", "text_hash", "place", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).alias("words"))
 
 
 def _documents(docs: DataFrame, broadcast_rows: int) -> DataFrame:
     """doc_id, host, lines (hashes of a row's distinct normalised lines), again (whether other rows have the same id)."""
-    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalised), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    lines = F.transform(F.array_remove(F.array_distinct(normal_lines(F.coalesce("text", F.lit("")))), ""), lambda x: F.xxhash64(x))
     rows = docs.select("doc_id", F.col("source").alias("host"), lines.alias("lines"))
     ids = durable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")))
     n = ids.count()
@@ -124,8 +125,9 @@ def line_frequency_rules(
     both = base.join(lost, _same(base, lost, key), "left")
     removed = F.coalesce("lost", F.lit(0))
     left = F.col("n_words") - F.col("removed_words")
-    keep_line = lambda x: ~F.array_contains("removed_lines", F.xxhash64(normalised(x)))
-    clean = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep_line), "\n"))
+    hashes = F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x))
+    pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), hashes.alias("hash")), lambda x: ~F.array_contains("removed_lines", x["hash"]))
+    clean = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pairs, lambda x: x["line"]), "\n"))
     out = both.select(*[base[c] for c in base.columns], "removed_lines", removed.alias("removed_words")).withColumn("clean_text", clean)
     return out.withColumn("kept", ~F.col("base_failed") & (left >= least_words) & (left >= least_left * F.col("n_words")))
 
