@@ -15,6 +15,9 @@ without rows gives none.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +37,18 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 def normal_lines(text: Column) -> Column:
     """The lines of a text, each in lower case, with one space for a run of white space and none at the ends.
 
-    All but the split works on the whole text at once: a lambda over lines would be interpreted, line by line."""
-    spaces = F.regexp_replace(F.lower(F.translate(text, "\t\x0b\x0c\r", "    ")), " {2,}", " ")
+    All but the split works on the whole text at once (a lambda over lines would be interpreted, line by line), and the
+    pattern only on texts that have what it replaces."""
+    low = F.lower(text)
+    odd = reduce(or_, (text.contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")))
+    spaces = F.when(odd, F.regexp_replace(low, r"[\x20\t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")).otherwise(low)
     return F.split(F.trim(F.replace(F.replace(spaces, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))), "\n")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, host, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the hash of the text."""
     df = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    df = _held(df, bare=F.regexp_replace("text", f"^{WS_CLASS}+|{WS_CLASS}+$", ""))
+    df = _held(df, bare=F.trim("text", F.lit(" \t\n\x0b\f\r")))
     words = F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", f"{WS_CLASS}+"))
     df = _held(df, word=F.transform(words, lambda w: F.xxhash64(w)), word_chars=F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.length(w)))
     starts = F.when(F.size("word") < WINDOW, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("word") - WINDOW))
