@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import byte_rows, durable, give_back, map_arrow, ship
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 64_000_000
 #: A question's least number of entries for a bucket, at about one entry for TEXT_AN_ENTRY bytes.
 ENTRIES, TEXT_AN_ENTRY = 8, 32
 NULL_ID = np.iinfo(np.int64).max
@@ -135,8 +135,8 @@ def corpus_bytes(docs: DataFrame) -> int:
 
 
 def layout(total: int, partitions: int, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
-    """Bytes of a chunk, and the number of buckets: enough to occupy all shuffle partitions, few enough that a chunk has ``ENTRIES`` for each."""
-    buckets = min(1 << 23, max(2 * partitions, isqrt(total // 2048)))
+    """Bytes of a chunk, and the number of buckets: enough to occupy all shuffle partitions and for BUCKET_BYTES of text each, few enough that a chunk has ``ENTRIES`` for each."""
+    buckets = max(2 * partitions, min(total // BUCKET_BYTES, isqrt(total // 2048)))
     return max(chunk_bytes, min(1 << 30, ENTRIES * TEXT_AN_ENTRY * buckets) if buckets > 2 * partitions else 0), buckets
 
 
