@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippletrace.operators.durable import durable
+from rippletrace.operators.durable import Grown, durable
 from rippletrace.operators.reach import KERNEL_EDGES
 from rippletrace.plans import schema as S
 
@@ -96,12 +96,13 @@ def _loop(links: DataFrame) -> DataFrame:
         colour = _spread(files.withColumn("colour", F.col("file_id")), links)
         a, b = colour.select(F.col("file_id").alias("src"), F.col("colour").alias("c1")), colour.select(F.col("file_id").alias("dst"), F.col("colour").alias("c2"))
         inside = durable(links.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
-        found = durable(colour.where("file_id = colour").select("file_id", "colour"))
-        front = found
+        front = durable(colour.where("file_id = colour").select("file_id", "colour"))
+        known = Grown(front)
         while not front.isEmpty():
             back = front.join(inside.select(F.col("dst").alias("file_id"), "src", "colour"), ["file_id", "colour"]).select(F.col("src").alias("file_id"), "colour").distinct()
-            front = durable(back.join(found, ["file_id", "colour"], "left_anti"))
-            found = durable(found.unionByName(front))
+            front = durable(back.join(known.rows(), ["file_id", "colour"], "left_anti"))
+            known.add(front)
+        found = known.rows()
         size = found.groupBy("colour").agg(F.count("*").alias("n"), F.min("file_id").alias("scc"))
         done = durable(done.unionByName(found.join(size.where("n > 1"), "colour").select("file_id", "scc")))
         gone = found.select("file_id")

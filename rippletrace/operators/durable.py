@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+class Grown:
+    """Rows that a loop adds to: a durable table a round, put together every few rounds, so that neither the plan nor what is written again grows with the rounds."""
+
+    def __init__(self, first: DataFrame, most: int = 8):
+        self.parts, self.most = [first], most
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, more: DataFrame) -> None:
+        self.parts.append(more)
+        if len(self.parts) > self.most:
+            self.parts = [durable(self.rows())]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)

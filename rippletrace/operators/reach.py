@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rippletrace.functions.paths import is_test_class, kind_of_role
-from rippletrace.operators.durable import durable
+from rippletrace.operators.durable import Grown, durable
 from rippletrace.plans import schema as S
 
 KERNEL_EDGES = 2_000_000
@@ -109,7 +109,7 @@ def _loop(edges: DataFrame, seeds: DataFrame, sources: DataFrame, views: bool, m
         moves = moves.unionByName(edges.where(F.col("kind") == S.VIEW).select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit("back").alias("kind")))
     moves = durable(moves.join(sources.withColumnRenamed("file_id", "at"), "at", "left_semi"))
     front = durable(seeds.select("file_id", F.lit(0).alias("depth"), F.lit(False).alias("down")))
-    reached = front
+    reached = Grown(front)
     for _ in range(max_rounds):
         k = F.col("kind")
         step = front.join(moves, F.col("file_id") == F.col("at")).where(((k != S.DIRECT) | (F.col("depth") < max_depth)) & ((k != S.VIEW) | ~F.col("down")))
@@ -118,10 +118,10 @@ def _loop(edges: DataFrame, seeds: DataFrame, sources: DataFrame, views: bool, m
             F.when(k == S.DIRECT, F.col("depth") + 1).when(k == S.A11Y, 0).otherwise(F.col("depth")).alias("depth"),
             F.when(k == S.VIEW, False).when(k == "back", True).otherwise(F.col("down")).alias("down"),
         ).distinct()
-        front = durable(step.join(reached, ["file_id", "depth", "down"], "left_anti"))
+        front = durable(step.join(reached.rows(), ["file_id", "depth", "down"], "left_anti"))
         if front.isEmpty():
-            return reached
-        reached = durable(reached.unionByName(front))
+            return reached.rows()
+        reached.add(front)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -191,7 +191,7 @@ def _first_visit_loop(nodes: DataFrame, e: DataFrame, changed: DataFrame, views:
     order = F.col("ordinal") if "ordinal" in changed.columns else F.lit(0)
     first = changed.join(nodes, "file_id", "left_semi").groupBy("file_id").agg(F.min(F.struct(order.cast("long"), "file_id")).alias("key"))
     front = numbered(first.select("file_id", F.lit(0).alias("depth"), F.lit(False).alias("down"), "key"))
-    seen = front.drop("rank")
+    seen = Grown(front.drop("rank"))
     while True:
         k = F.col("kind")
         step = front.join(moves, F.col("file_id") == F.col("at")).where(((k != S.DIRECT) | (F.col("depth") < max_depth)) & ((k != S.VIEW) | ~F.col("down")))
@@ -201,10 +201,10 @@ def _first_visit_loop(nodes: DataFrame, e: DataFrame, changed: DataFrame, views:
             F.when(k == S.VIEW, False).when(k == "back", True).otherwise(F.col("down")).alias("down"),
         )
         level = step.groupBy(F.col("to").alias("file_id")).agg(F.min_by(state, way).alias("s"), F.min(way).alias("key")).select("file_id", "s.*", "key")
-        front = numbered(level.join(seen, "file_id", "left_anti"))
+        front = numbered(level.join(seen.rows(), "file_id", "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = durable(seen.unionByName(front.drop("rank")))
+            return seen.rows()
+        seen.add(front.drop("rank"))
 
 
 def affected_tests(nodes: DataFrame, states: DataFrame) -> DataFrame:

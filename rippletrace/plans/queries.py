@@ -89,8 +89,8 @@ RESULT = f"{_reach('all')}, {TESTS}, {SETTERS}, {PAGES}, {METHODS}, {IMPACTED},
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A stored graph, as an index run leaves it, and the changed files."""
-    return durable(A.part_nodes(spark, sf_dir)), durable(A.part_edges(spark, sf_dir)), A.part_changed(spark, sf_dir)
+    """A graph with identifiers and methods, and the changed files."""
+    return durable(A.part_nodes(spark, sf_dir)), A.part_edges(spark, sf_dir), A.part_changed(spark, sf_dir)
 
 
 def _light(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
