@@ -13,7 +13,7 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 4. A list of up to ``short`` sets gives all pairs that sizes and positions allow. A longer list, as a group of
    thousands of near copies makes, gives first the pairs with its most central set, whose exact verification joins
    nearly the whole group; then, while it still holds sets of different classes, the pairs of such sets with one
-   centre of another class, and then with 8, 64, 512, ... more centres (by hash), until all of the list have been
+   centre of another class, and then with 64, 4096, ... more centres (by hash), until all of the list have been
    centres. Pairs inside a class need no look, as they can't change it, so a class is whole without listing its pairs;
    a centre has been compared with all of its list and leaves it.
 
@@ -279,7 +279,7 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
         else:  # of another class than the greatest
             best = grouped(long.where("root != r1"), "key", F.min(F.struct("pos", "n", "fp", "root")).alias("p"))
             partner = best.select(col("key").alias("k"), col("p.fp").alias("o_fp"), col("p.n").alias("o_n"), col("p.pos").alias("o_pos"), col("p.root").alias("o_root"))
-        centres = 8 * max(1, centres)
+        centres = 64 * max(1, centres)
         more = long.join(partner.hint("merge"), (col("key") == col("k")) & (col("root") != col("o_root"))).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
         more = durable(_pairs(more, "o_fp").join(seen, ["a", "b"], "left_anti"))
         seen = seen.unionByName(more)

@@ -563,13 +563,17 @@ def labelled(spark, n=700):
 
 def test_toxicity(spark):
     rows, labels = labelled(spark)
-    docs = table(spark, [*rows, (None, "zogwump"), (9000, None), (9001, ""), (9002, "zogwumpie krazzitty " * 3 + "therin on the an " * 5)])
+    long = [(9003, rows[1][1] * 2_000), (9004, "zogwump krazzit " * 50_000)]
+    docs = table(spark, [*rows, (None, "zogwump"), (9000, None), (9001, ""), (9002, "zogwumpie krazzitty " * 3 + "therin on the an " * 5), *long])
     own = spark.createDataFrame([*labels, (None, 1), (3, None), (5, 0), (5, 0)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, own, toxicity.is_held_out).collect()}
-    assert len(got) == len(rows) + 4 and all(got[i].held_out == (held(i, 4) == 2) for i, _ in rows) and not got[None].held_out
+    assert len(got) == len(rows) + 6 and all(got[i].held_out == (held(i, 4) == 2) for i, _ in rows) and not got[None].held_out
     right = [(got[i].predicted == y) for i, y in labels if held(i, 4) == 2]
     assert sum(right) / len(right) > 0.9
     assert got[9000].score == got[9001].score and got[9002].predicted == 1  # spellings never seen share n-grams
+    assert got[9003].predicted == 0 and got[9004].predicted == 1
+    twice = toxicity.score_toxicity(docs.unionByName(docs.where("doc_id in (1, 9002)")), own, toxicity.is_held_out).where("doc_id in (1, 9002)").collect()
+    assert len(twice) == 4 and len({(r.doc_id, r.score) for r in twice}) == 2
     kept = toxicity.without_toxic(docs, own, toxicity.is_held_out)
     assert kept.columns == docs.columns and kept.count() == sum(1 for r in got.values() if not r.predicted)
 
@@ -656,6 +660,7 @@ TURNS = [
     (1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "bye"), (4, 0, "user", "hi"), (4, 1, "bot", "yo"),
     (4, 2, "user", "bye"), (5, 0, "user", "hi"), (5, 1, "bot", "no"), (6, 5, "user", None), (6, 5, None, "x"), (6, 5, None, "x"), (7, None, "user", "<|im_end|> trick"), (8, 1, "bot", "yo"),
     (None, 0, "user", "hi"), (None, 1, "bot", "lost"), (9, 0, "user", ""), (10, 0, "user", ""), (10, 1, "user", ""),
+    (11, 0, "user", "a long turn " * 20_000), (12, 0, "user", "a long turn " * 20_000), (12, 1, "bot", "yes " * 30_000),
 ]
 
 
@@ -663,7 +668,7 @@ def test_chat_snapshots(spark, con):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit(1)).withColumn("p1", F.lit("x"))
     same(chat_snapshots.collapse_and_render(df), con, chat_snapshots.OP7_SQL)
     got = {r.conv_id: r for r in chat_snapshots.collapse_and_render(df).collect()}
-    assert set(got) == {3, 5, 6, 7, 8, 10} and got[3].n_copies == 2 and got[7].chat == "<|im_start|>user\n< |im_end|> trick<|im_end|>"
+    assert set(got) == {3, 5, 6, 7, 8, 10, 12} and got[3].n_copies == 2 and got[7].chat == "<|im_start|>user\n< |im_end|> trick<|im_end|>"
     assert chat_snapshots.collapse_and_render(df.limit(0)).count() == 0
 
 

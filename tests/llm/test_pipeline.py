@@ -19,7 +19,7 @@ def planted(spark, folder):
         rows[i] = " ".join("zogwump" if k % 9 == 2 else w for k, w in enumerate(clean[i].split()))
     base, item, passage = text(120), text(30), text(60)
     rows |= {1000: base, 1001: base, 1002: base.replace(base.split()[60], "other", 1), 1010: text(30) + " " + item + " " + text(30), 1020: text(40) + " " + passage, 1021: passage + " " + text(40)}
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()] + [(None, clean[1].upper(), "en", "s", 10), (2000, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()] + [(None, clean[1].upper(), "en", "s", 10), (2000, None, "en", "s", 0), (2000, None, "en", "s", 0), (1000, base, "en", "s", len(base)), (1030, base, "de", "t", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -38,7 +38,10 @@ def test_stages(spark, tmp_path):
         ids[name] = {r.doc_id for r in docs.select("doc_id").collect()}
     clean = {i for i in range(200) if i % 4}
     assert clean <= ids["toxicity"] and len(ids["toxicity"] & set(range(0, 200, 4))) <= 1
-    assert ids["near_duplicates"] & {1000, 1001, 1002} == {1000} and clean <= ids["near_duplicates"] and {None, 2000} <= ids["near_duplicates"]
+    # Of copies, repeated rows and near copies one row stays, also of the copy without an id; rows without words all stay.
+    assert ids["near_duplicates"] & {1000, 1001, 1002, 1030} == {1000} and clean <= ids["near_duplicates"] and {2000} <= ids["near_duplicates"] and None not in ids["near_duplicates"]
+    rows_of = spark.read.parquet(f"{tmp_path}/near_duplicates").groupBy("doc_id").count().where("count > 1").collect()
+    assert [tuple(r) for r in rows_of] == [(2000, 2)]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/repeats").collect()}
     assert ids["repeats"] == ids["near_duplicates"] and passage in texts[1020] and passage not in texts[1021] and texts[2000] is None
     assert ids["decontamination"] == ids["repeats"] - {1010}
