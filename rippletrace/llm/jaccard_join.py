@@ -283,9 +283,8 @@ def _classes(docs: DataFrame, size: int, short: int, extra: list[str] | None = N
         more = long.join(partner.hint("merge"), (col("key") == col("k")) & (col("root") != col("o_root"))).where(_possible(col("n"), col("pos"), col("o_n"), col("o_pos")))
         more = durable(_pairs(more, "o_fp").join(seen, ["a", "b"], "left_anti"))
         seen = seen.unionByName(more)
-        found = durable(_verified(more, sets))
-        if not found.isEmpty():  # the stars so far stand for all links so far
-            roots = components(roots.select(col("node").alias("a"), col("root").alias("b")).unionByName(found))
+        # The stars so far stand for all links so far.
+        roots = components(roots.select(col("node").alias("a"), col("root").alias("b")).unionByName(_verified(more, sets)))
         long = long.drop("root", "r1")
     return Classes(chunks, listed.where("kind = 3").select("doc_id", "fp", "n", "key", "pos"), roots)
 

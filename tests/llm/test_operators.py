@@ -146,6 +146,28 @@ def test_rows_that_share_an_id_are_documents_each(spark):
     assert jaccard_join.one_of_each_class(plain).count() == 6 and jaccard_join.one_of_each_class(plain).columns == ["doc_id", "text"]
 
 
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_components_by_steps_and_in_one_task(spark, most):
+    """Chains, stars, copies of links and links to oneself; least nodes by a plain walk. Few links take few jobs."""
+    from rippletrace.llm.components import components
+
+    links = [(k, k + 1) for k in range(0, 300) if k % 50] + [(-5, k) for k in range(1000, 1100)] + [(2**62, -(2**62)), (7, 7), (1000, -5), (9000, 8000), (9000, 7000)]
+    root = {n: n for link in links for n in link}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    sc = spark.sparkContext
+    sc.setJobGroup(f"components {most}", "")
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), most=most).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup(f"components {most}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {n: r for n, r in root.items() if n != r}
+    assert most == 0 or jobs <= 5
+
+
 def test_a_template_in_many_unlike_documents(spark):
     """Long lists whose sets are mostly not linked: all rounds of centres run, and no link is lost."""
     rng = random.Random(17)
