@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippletrace.operators.durable import saved
 from rippletrace.plans import engine
 from rippletrace.sources import facts
 from rippletrace.sources.swift import extract_files
@@ -21,7 +22,7 @@ class ParsedSource:
     name: str = "tree-sitter"
 
     def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        parsed = extract_files(self.files)
+        parsed = saved(extract_files(self.files))
         return engine.nodes_of_parsed(parsed, self.root), engine.edges_of_parsed(parsed)
 
 

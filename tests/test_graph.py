@@ -7,6 +7,7 @@ from rippletrace.functions import paths as P
 from rippletrace.functions import symbols as Y
 from rippletrace.operators import edges as E
 from rippletrace.operators import graph as G
+from rippletrace.plans import adapters
 from rippletrace.plans import engine as N
 from rippletrace.plans import schema as S
 from rippletrace.plans.fact_sources import MakefileSource, ParsedSource, SymbolIndexSource
@@ -171,6 +172,23 @@ def test_index_from_sources(spark):
     assert N.inspect(nodes, edges, "A.swift")[1].count() == 4
 
 
+def test_each_text_is_parsed_once_by_many_tasks(spark, tmp_path):
+    """A file notes the rows that reach the parser, over all readers of its facts."""
+    noted = str(tmp_path / "noted")
+
+    def note(batches):
+        for b in batches:
+            with open(noted, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    files = spark.createDataFrame(SOURCES, "file_id string, content string")
+    N.index_sources(files.mapInArrow(note, files.schema))[1].collect()
+    with open(noted) as f:
+        assert len(f.read()) == len(SOURCES)
+    assert adapters.project_sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_incremental_facts_equal_a_full_index(spark):
     facts_ = lambda rows: {"symbol_defs": spark.createDataFrame(rows, "file_id string, symbol string")}
     inv = lambda rows: spark.createDataFrame(rows, "file_id string, blob_sha string")
