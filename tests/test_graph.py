@@ -70,6 +70,16 @@ def ids(spark, text):
     return spark.createDataFrame([(x,) for x in text], "file_id string")
 
 
+def test_repeated_edges_by_groups(spark):
+    """Groups of files that define the same symbols, files that use them, own uses, built-in names, a null file."""
+    refs = [(f"R{k}", x) for k in range(40) for x in ("Aa", "Bb", "Cc", "String", "Dd") if (k + len(x) * ord(x[0])) % 3] + [("D1", "Aa"), ("D1", "Bb"), (None, "Aa"), (None, "Bb")]
+    defs = [(f"D{k}", x) for k in range(9) for x in (("Aa", "Bb"), ("Bb", "Cc", "String"), ("Dd", "Aa", "Cc"))[k % 3]] + [("D20", "Zz"), ("D20", "Aa")]
+    r, d = spark.createDataFrame(refs, "file_id string, symbol string"), spark.createDataFrame(defs, "file_id string, symbol string")
+    want = E.symbol_edges(r, d).groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1")
+    got = [tuple(x) for x in E.repeated_edges(r, d).collect()]
+    assert sorted(got) == sorted(tuple(x) for x in want.collect()) and {n for _, _, n in got} == {2, 3}
+
+
 @pytest.mark.parametrize(
     "start,action,want",
     [
