@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from rippletrace.operators import edges as E
 from rippletrace.plans import adapters as A
 from rippletrace.plans.queries import QUERIES
 
@@ -106,3 +107,29 @@ def test_constants_of_all_suppliers(spark, folder):
     named = {s: {(f.file_id, k) for f in facts if f.side == s for k in keys(f.id_kind, f.key)} for s in ("setter", "query")}
     edges = {(a, b) for a, x in named["setter"] for b, y in named["query"] if x == y and a != b}
     assert got(spark, folder, "a11y_edges", "src", "dst") == Counter(edges)
+
+
+def test_a11y_edges_deals_each_query_once(spark, tmp_path):
+    """A file's queries are dealt to be made distinct, to meet groups and as groups met; not by method, and not by every name."""
+    parts = [(k, 3 if k % 2 else 0) for k in range(1, 401)]
+    items = [(o, 1 + o % 7, k, o, "A") for k, _ in parts for o in range(1, 41)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(SUPPLIERS, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    sc = spark.sparkContext
+    store, no_quantiles = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, no_quantiles, None))}
+    before = stages()
+    rows = QUERIES["a11y_edges"](spark, str(tmp_path)).count()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    dealt = sum(n for k, n in stages().items() if k not in before)
+    assert rows > 20_000 and dealt < 50 * 200 * 40
+
+
+def test_a11y_edges_of_repeated_and_odd_identifiers(spark):
+    facts = [("a", "setter", "Literal", "x"), ("a", "setter", "Literal", "x"), ("b", "setter", None, "y"), ("c", "setter", "Symbolic", "I.k"), ("d", "setter", "Literal", None)]
+    facts += [("q", "query", "Literal", "x"), ("q", "query", "Literal", "x"), ("q", "query", None, "x"), ("r", "query", None, "y"), ("r", "query", "Literal", "z"), ("s", "query", "Literal", None), ("a", "query", "Literal", "x")]
+    facts = spark.createDataFrame(facts, "file_id string, side string, id_kind string, key string")
+    aliases = spark.createDataFrame([("I", "J", 1)], "alias string, target string, file_ordinal long")
+    constants = spark.createDataFrame([("J.k", "z", 1)], "path string, literal string, file_ordinal long")
+    assert Counter((e.src, e.dst) for e in E.a11y_edges(facts, aliases, constants).collect()) == Counter([("a", "q"), ("b", "r"), ("c", "r")])
