@@ -40,6 +40,17 @@ NUMBERS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: The tokenizer's own word pattern, for lower-case text of those characters.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Most words: letters, and marks behind them, of PLAIN. These are the two parts, as no contraction ends in a mark.
+USUAL = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([\x21-\x2f:;=>?@\x5b-\x60\x7b-\x7e]*)")
+#: The first byte of a character from U+0100 on.
+FAR = re.compile(rb"[\xc4-\xff]")
+
+
+def words(text: bytes) -> list[bytes]:
+    """The text's words, with A-Z lower-cased where no id depends on that, so that all spellings share an entry.
+
+    In characters before U+0100 nothing composes with a letter, and special tokens are the only others that have case."""
+    return (text if b"<|" in text or not text.isascii() and FAR.search(text) else text.lower()).split()
 
 
 def word_ids(tokenizer_file: str):
@@ -58,19 +69,22 @@ def word_ids(tokenizer_file: str):
     # The tokenizer writes each byte as a character: printable ones as themselves, the rest from U+0100 on.
     shown = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or c >= 0xAE]
     spelt = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in set(shown))}
+    packed = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size())]
 
     def whole(text: str) -> bytes:
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def part(text: str) -> bytes:
-        ids = [t.id for t in pieces(text if text.isascii() else text.encode().decode("latin-1").translate(spelt))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([packed[t.id] for t in pieces(text if text.isascii() else text.encode().decode("latin-1").translate(spelt))])
 
     of_part = Memo(part).__getitem__
 
     def ids(word: bytes) -> bytes:
         text = word.decode()
+        if usual := USUAL.fullmatch(text):
+            letters, marks = usual.groups()
+            return of_part(letters.lower()) + of_part(marks) if marks else of_part(letters.lower())
         if "<|" in text or not PLAIN.fullmatch(text):
             return whole(text)
         return b"".join(map(of_part, PARTS.findall(text.lower())))
@@ -158,7 +172,7 @@ def _packer(tokenizer_file: str, capacity: int, with_ids: bool):
             raw, at = byte_rows(b.column("text"))
             rows, held = [], 0
             for k, doc in enumerate(b.column("doc_id").to_pylist()):
-                ids = b"".join(map(ids_of, raw[at[k] : at[k + 1]].split())) + END
+                ids = b"".join(map(ids_of, words(raw[at[k] : at[k + 1]]))) + END
                 rows += bins.document(doc, ids)
                 held += len(ids)
                 if held > 8_000_000:

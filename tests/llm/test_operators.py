@@ -266,6 +266,23 @@ def test_packing_round_trip(spark, docs, rows):
         assert ends[-1] & (ends[-1] - 1) == 0  # no padding: whole sequences or powers of two
 
 
+def test_packing_spellings_share_an_entry():
+    """A-Z are lower-cased before the table, but not where a letter could compose with a mark or a special token would appear."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
+    ids = packing.word_ids("word_bpe_49k.json")
+    assert set(packing.words("The THE the \xc9t\xe9 \xc9T\xe9".encode())) == {b"the", "\xc9t\xe9".encode()}
+    apart = ["J\u030c A", "H\u0331 B", "<|ENDOFTEXT|> C", "\u212a D"]
+    assert all(packing.words(t.encode()) == t.encode().split() for t in apart)
+    rng = random.Random(8)
+    signs = ["aA", "J", "h", "S", "t", "\xc9", "\xe9", "\xdf", "\xd7", "\xb5", "\xa0", "'s", "'S", "'", ".", ",", "!?", "<|", "|>", "7", " ", "  \n", "<|endoftext|>", "<|EndOfText|>", "\u030c", "\u0301", "\u0130", "\u03a3", "\u212a"]
+    mixed = ["".join(rng.choice(signs[: rng.choice((24, 29))]) for _ in range(rng.randint(0, 9))) for _ in range(3_000)]
+    for text in [*apart, "It's DON'T dogs', (x) a.b C3PO, 12,5% Wort.", *mixed]:
+        assert b"".join(map(ids, packing.words(text.encode()))) == np.array(encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 @pytest.mark.parametrize("capacity", [1, 2, 64, 4096])
 def test_harmonic_classes(capacity):
     """Bins hold k pieces of (capacity / (k + 1), capacity / k] and at most fillers of their gap; a document is cut once at most besides whole sequences."""
