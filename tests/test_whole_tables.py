@@ -133,3 +133,40 @@ def test_a11y_edges_of_repeated_and_odd_identifiers(spark):
     aliases = spark.createDataFrame([("I", "J", 1)], "alias string, target string, file_ordinal long")
     constants = spark.createDataFrame([("J.k", "z", 1)], "path string, literal string, file_ordinal long")
     assert Counter((e.src, e.dst) for e in E.a11y_edges(facts, aliases, constants).collect()) == Counter([("a", "q"), ("b", "r"), ("c", "r")])
+
+
+def rows_dealt(spark, f):
+    """What f returns, and the rows of all shuffles meanwhile."""
+    sc = spark.sparkContext
+    store, no_quantiles = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, no_quantiles, None))}
+    before, out = stages(), f()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_a11y_edges_deals_a_query_and_group_once(spark, tmp_path):
+    """Of the groups that a file meets by several identifiers, each is dealt once: rows were dealt to be made distinct, and again to meet the groups."""
+    parts = [(k, 3 if k % 2 else 0) for k in range(1, 401)]
+    items = [(o, 1 + o % 7, k, o, "A") for k, _ in parts for o in range(1, 98)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(SUPPLIERS, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows, dealt = rows_dealt(spark, lambda: QUERIES["a11y_edges"](spark, str(tmp_path)).count())
+    assert rows > 20_000 and dealt < 32_000
+
+
+@pytest.mark.parametrize("cell", [1, 3, 16384])
+def test_a11y_edges_of_files_that_share_several_identifiers(spark, monkeypatch, cell):
+    """Files set and query many of the same identifiers, by several names; a pair is there once however many cells its files fall into."""
+    monkeypatch.setattr(E, "FILES_A_CELL", cell)
+    pick = lambda f, side: [(f"f{f}", side, "Symbolic" if i % 3 == 0 else "Literal", f"I.{i}" if i % 3 == 0 else f"k{i}") for i in range(12) if (f * 7 + i * (3 if side == "setter" else 5)) % 11 < 4]
+    facts = [x for f in range(30) for side in ("setter", "query") for x in pick(f, side)]
+    constants = {"I.0": "k1", "I.3": "k1", "J.6": "k2", "J.9": "k4"}
+    names = lambda kind, key: {key} if kind == "Literal" else {key, "J" + key[1:], constants.get(key), constants.get("J" + key[1:])} - {None}
+    of = {s: {(f, n) for f, side, kind, key in facts if side == s for n in names(kind, key)} for s in ("setter", "query")}
+    want = {(a, b) for a, x in of["setter"] for b, y in of["query"] if x == y and a != b}
+    facts = spark.createDataFrame(facts + facts[:20], "file_id string, side string, id_kind string, key string")
+    aliases = spark.createDataFrame([("I", "J", 1)], "alias string, target string, file_ordinal long")
+    constants = spark.createDataFrame([(p, v, 1) for p, v in constants.items()], "path string, literal string, file_ordinal long")
+    assert len(want) > 200 and Counter((e.src, e.dst) for e in E.a11y_edges(facts, aliases, constants).collect()) == Counter(want)
