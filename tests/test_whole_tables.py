@@ -156,6 +156,14 @@ def test_a11y_edges_deals_a_query_and_group_once(spark, tmp_path):
     assert rows > 20_000 and dealt < 32_000
 
 
+@pytest.mark.parametrize("name", ["index_full", "index_incremental"])
+def test_an_index_deals_no_pairs(spark, tmp_path, name):
+    """Each of 400 files sets an identifier of its own and one that all 300 tests query: the 120,000 pairs are made, but not dealt."""
+    spark.createDataFrame([(k, 7) for k in range(1200)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows, dealt = rows_dealt(spark, lambda: QUERIES[name](spark, str(tmp_path)).where("kind = 'AccessibilityBinding'").count())
+    assert rows > 120_000 and dealt < 60_000
+
+
 @pytest.mark.parametrize("cell", [1, 3, 16384])
 def test_a11y_edges_of_files_that_share_several_identifiers(spark, monkeypatch, cell):
     """Files set and query many of the same identifiers, by several names; a pair is there once however many cells its files fall into."""
